@@ -40,3 +40,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     retries deterministic, unlike a round-robin repartition.
     """
     return df.repartition(parallelism(df.sparkSession), *[F.col(c) for c in cols])
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast of ``df`` only if it has at most ``max_rows`` rows; else leave the join to shuffle.
+
+    ``df`` should be cheap to count, such as one that was checkpointed.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
