@@ -1,0 +1,50 @@
+"""Registered queries of this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeweave.llm import canonical, repeated_lines, truncation
+from noticeweave.session import table
+
+
+def p4_titles(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_titles(truncation.title_rows(table(spark, d, "crawl_urls"), table(spark, d, "subsidies")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_titles(spark, d).where("truncated").select("tab", "rec_key").distinct()
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_by_source(p4_titles(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = repeated_lines.excessive_occurrences(table(spark, d, "subsidies"), "id", "agency", "content")
+    return found.select(F.col("key").alias("id"), "line_no").distinct()
+
+
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    found = repeated_lines.repeated_line_report(table(spark, d, "subsidies"), "id", "agency", "content")
+    return found.withColumnRenamed("source", "agency")
+
+
+def p5_contents(spark: SparkSession, d: str) -> DataFrame:
+    out = repeated_lines.without_repeated_lines(table(spark, d, "subsidies"), "id", "agency", "content")
+    return out.select(F.col("key").alias("id"), F.col("text").alias("content"), "n_removed")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_found(table(spark, d, "subsidies"), "id", ["title", "content"]).withColumnRenamed("key", "id")
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_texts(table(spark, d, "subsidies").select("id", "title", "content"), "id", ["title", "content"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
