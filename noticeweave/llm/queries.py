@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeweave.llm import canonical, repeated_lines, truncation
+from noticeweave.llm import boilerplate, canonical, repeated_lines, truncation
 from noticeweave.session import table
 
 
+def furniture_of(subsidies: DataFrame) -> DataFrame:
+    """Furniture lines of the catalogue: ``(key, line_no)``."""
+    return boilerplate.furniture_lines(subsidies, "id", "official_url", "content", "agency", "title", "program_name")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture_of(table(spark, d, "subsidies")).withColumnRenamed("key", "id")
+
+
+def p2_contents(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "subsidies")
+    out = boilerplate.main_text(s, "id", "content", furniture_of(s))
+    return out.select(F.col("key").alias("id"), F.col("text").alias("content"), "n_removed")
+
+
 def p4_titles(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated_titles(truncation.title_rows(table(spark, d, "crawl_urls"), table(spark, d, "subsidies")))
 
