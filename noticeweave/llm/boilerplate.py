@@ -55,15 +55,15 @@ def _code(line: Column, own: Column, title: Column) -> Column:
     Sentences are part of the notice unless they speak of the site; list marks, numbers as in tables and the own
     title protect a line as well.
     """
-    low = F.lower(line)
-    is_own = (low == title) | ((own != "") & low.startswith(own) & (F.length(line) - F.length(own) <= 8))
+    bare = F.regexp_replace(F.lower(F.translate(line, " \u3000「」", "")), r"第[0一二三四五六七八九十]+(?:梯次|梯|次|期)\z", "")
+    is_own = (F.length(bare) >= 6) & (title.contains(bare) | (bare == own))
     return (
         F.when(line == "", "b")
+        .when((F.length(line) <= 12) & line.rlike(LIST_HEADS), "H")
         .when(line.rlike(rf"^(?:{SITE_PREFIXES}|[‹›◀▶←→])|^[^，。]{{0,6}}#"), "S")
         .when(F.coalesce(is_own, F.lit(False)) | line.rlike(_LIST_MARK), "P")
         .when(line.rlike(r"[。；;，]$"), F.when(line.rlike(SITE_SENTENCES), "S").otherwise("P"))
         .when(line.rlike(SITE_WORDS), "S")
-        .when((F.length(line) <= 12) & line.rlike(LIST_HEADS), "H")
         .when((F.length(line) >= 8) & line.rlike(rf"(?:{TITLE_ENDS})$"), "I")
         .when(line.contains("0"), "P")
         .when(line.contains("，"), "W")
@@ -71,7 +71,12 @@ def _code(line: Column, own: Column, title: Column) -> Column:
     )
 
 
-def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: str) -> DataFrame:
+def _bare(name: Column) -> Column:
+    """A title as compared with lines: ordinary letters, numbers masked, no spaces or quotes."""
+    return F.lower(F.translate(F.regexp_replace(F.coalesce(ordinary(name), F.lit("")), "[0-9]+", "0"), " \u3000「」", ""))
+
+
+def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column) -> DataFrame:
     """``(key, host, template, url, frames, codes)`` of the pages with text: the only pass over the texts."""
     clean = ordinary(F.col(text))
     page = df.where(F.col(text).isNotNull()).select(
@@ -80,8 +85,8 @@ def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title
         F.regexp_replace(F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("")), "[0-9]+", "0").alias("template"),
         F.coalesce(F.col(url), F.lit("")).alias("url"),
         F.when(F.length(agency) > 1, F.replace(clean, F.col(agency), F.lit("@"))).otherwise(clean).alias("text"),
-        F.lower(F.regexp_replace(F.coalesce(ordinary(F.col(title)), F.lit("")), "[0-9]+", "0")).alias("title"),
-        F.lower(F.regexp_replace(F.coalesce(ordinary(F.col(name)), F.lit("")), "[0-9]+", "0")).alias("own"),
+        _bare(F.col(title)).alias("title"),
+        _bare(name).alias("own"),
     )
     page = page.withColumn("lines", _lines(F.col("text")))
     return page.select(
@@ -158,7 +163,7 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     return own.select("host", "frame").unionByName(anywhere.select(F.lit("*").alias("host"), "frame"))
 
 
-def furniture_lines(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: str, **limits: float) -> DataFrame:
+def furniture_lines(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, **limits: float) -> DataFrame:
     """Distinct ``(key, line_no)`` of the non-blank lines that belong to the site, ``line_no`` from 0.
 
     Lines whose frame neighbouring pages share are deleted, save for those that ``_code`` protects: standing clauses,

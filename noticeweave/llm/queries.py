@@ -13,7 +13,8 @@ from noticeweave.session import table
 
 def furniture_of(subsidies: DataFrame) -> DataFrame:
     """Furniture lines of the catalogue: ``(key, line_no)``."""
-    return boilerplate.furniture_lines(subsidies, "id", "official_url", "content", "agency", "title", "program_name")
+    name = F.coalesce(F.nullif("program_name", F.lit("")), F.get(F.split("dedupe_key", r"\|"), F.lit(2)))
+    return boilerplate.furniture_lines(subsidies, "id", "official_url", "content", "agency", "title", name)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
