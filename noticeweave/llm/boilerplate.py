@@ -7,11 +7,13 @@ from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from noticeweave.llm.canonical import ordinary
-from noticeweave.session import bounded_broadcast, checkpoint
+from noticeweave.llm.canonical import ordinary_text
+from noticeweave.session import bounded_broadcast, checkpoint, stored
 
 # Words by which a sentence speaks of the site and not of a notice.
 SITE_SENTENCES = (
@@ -35,65 +37,105 @@ TITLE_ENDS = r"申請|申請公告|公告|FAQ|問答|要點|須知|說明會|機
 _LIST_MARK = r"^(?:[（(]?0[)）.、．](?!0)|[一二三四五六七八九十]+、|第0[點條]|[●※◎○■◆•]|[問答][：:]|主旨[：:]|說明[：:]|附件[：:0]|依據[：:])"
 
 
-def _lines(text: Column) -> Column:
-    """Trimmed lines with numbers masked; ``@`` stands for the agency."""
-    masked = F.regexp_replace(text, "[0-9]+", "0")
-    return F.transform(F.split(masked, "\n", -1), lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", ""))
+_FRAME = re.compile(rf"(?:{SITE_PREFIXES}|[‹›◀▶←→])|[^，。#]{{0,6}}#")
+_MARKED = re.compile(_LIST_MARK)
+_SENTENCE = re.compile(SITE_SENTENCES)
+_SITE = re.compile(SITE_WORDS)
+_HEAD = re.compile(LIST_HEADS)
+_TITLE = re.compile(rf"(?:{TITLE_ENDS})\Z")
+_DIGITS = re.compile("[0-9]+")
+_BATCH = re.compile(r"第[0一二三四五六七八九十]+(?:梯次|梯|次|期)\Z")
+_BARE = str.maketrans("", "", " \u3000「」")
+_MEMO: dict[str, tuple[str, int]] = {}
 
 
-def _frame(line: Column) -> Column:
-    """The part of a masked line that stays the same from page to page."""
-    prefix = F.regexp_extract(line, rf"^(?:{SITE_PREFIXES}|[‹›◀▶←→])", 0)
-    tagged = line.rlike(r"^[^，。]{0,6}#")
-    return F.when(prefix != "", prefix).when(tagged, F.regexp_extract(line, r"^[^#]*#", 0)).otherwise(line)
+def _signed_hash(s: str) -> int:
+    h = xxhash.xxh64_intdigest(s)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _code(line: Column, own: Column, title: Column) -> Column:
-    """One letter per line: b blank, P part of the notice, H head of a side list, I like its items, S speaks of the
-    site, C and W neither (W with a comma).
+def line_code(line: str) -> tuple[str, int]:
+    """Letter and frame of a trimmed line whose numbers are masked; a protected line has no frame (0).
 
-    Sentences are part of the notice unless they speak of the site; list marks, numbers as in tables and the own
-    title protect a line as well.
+    b blank, P part of the notice, H head of a side list, I like its items, S speaks of the site, C and W neither
+    (W with a comma). Sentences are part of the notice unless they speak of the site; list marks and numbers, as in
+    tables, protect a line as well. The frame hashes the part that stays the same from page to page.
     """
-    bare = F.regexp_replace(F.lower(F.translate(line, " \u3000「」", "")), r"第[0一二三四五六七八九十]+(?:梯次|梯|次|期)\z", "")
-    is_own = (F.length(bare) >= 6) & (title.contains(bare) | (bare == own))
-    return (
-        F.when(line == "", "b")
-        .when((F.length(line) <= 12) & line.rlike(LIST_HEADS), "H")
-        .when(line.rlike(rf"^(?:{SITE_PREFIXES}|[‹›◀▶←→])|^[^，。]{{0,6}}#"), "S")
-        .when(F.coalesce(is_own, F.lit(False)) | line.rlike(_LIST_MARK), "P")
-        .when(line.rlike(r"[。；;，]$"), F.when(line.rlike(SITE_SENTENCES), "S").otherwise("P"))
-        .when(line.rlike(SITE_WORDS), "S")
-        .when((F.length(line) >= 8) & line.rlike(rf"(?:{TITLE_ENDS})$"), "I")
-        .when(line.contains("0"), "P")
-        .when(line.contains("，"), "W")
-        .otherwise("C")
-    )
-
-
-def _bare(name: Column) -> Column:
+    if not line:
+        return "b", 0
+    if (m := _FRAME.match(line)) and not (len(line) <= 12 and _HEAD.search(line)):
+        return "S", _signed_hash(m.group())
+    if len(line) <= 12 and _HEAD.search(line):
+        code = "H"
+    elif _MARKED.match(line):
+        return "P", 0
+    elif line[-1] in "。；;，":
+        if not _SENTENCE.search(line):
+            return "P", 0
+        code = "S"
+    elif _SITE.search(line):
+        code = "S"
+    elif len(line) >= 8 and _TITLE.search(line):
+        code = "I"
+    elif "0" in line:
+        return "P", 0
+    else:
+        code = "W" if "，" in line else "C"
+    return code, _signed_hash(line)
+
+
+def _bare(name: str | None) -> str:
     """A title as compared with lines: ordinary letters, numbers masked, no spaces or quotes."""
-    return F.lower(F.translate(F.regexp_replace(F.coalesce(ordinary(name), F.lit("")), "[0-9]+", "0"), " \u3000「」", ""))
+    return "" if not name else _DIGITS.sub("0", ordinary_text(name)).translate(_BARE).lower()
+
+
+def mark_page(text: str, agency: str | None, title: str | None, name: str | None) -> tuple[str, list[int], str]:
+    """``(plain text, frame of each line, letter of each line)`` of one page; its own title is protected too."""
+    plain = ordinary_text(text)
+    masked = plain.replace(agency, "@") if agency and len(agency) > 1 else plain
+    own_title, own = _bare(title), _bare(name)
+    frames, codes = [], []
+    for line in _DIGITS.sub("0", masked).split("\n"):
+        line = line.strip(" \t")
+        got = _MEMO.get(line)
+        if got is None:
+            got = line_code(line)
+            if got[0] != "P":
+                if len(_MEMO) > 100_000:
+                    _MEMO.clear()
+                _MEMO[line] = got
+        code, frame = got
+        if code in "ICW":
+            bare = _BATCH.sub("", line.translate(_BARE).lower())
+            if len(bare) >= 6 and (bare in own_title or bare == own):
+                code, frame = "P", 0
+        codes.append(code)
+        frames.append(frame)
+    return plain, frames, "".join(codes)
+
+
+_PAGE = StructType([StructField("plain", StringType()), StructField("frames", ArrayType(LongType())), StructField("codes", StringType())])
+
+
+@F.pandas_udf(_PAGE)
+def _mark_pages(text: pd.Series, agency: pd.Series, title: pd.Series, name: pd.Series) -> pd.DataFrame:
+    rows = [mark_page(*row) for row in zip(text, agency, title, name)]
+    return pd.DataFrame(rows, columns=["plain", "frames", "codes"])
 
 
 def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column) -> DataFrame:
-    """``(key, host, template, url, frames, codes)`` of the pages with text: the only pass over the texts."""
-    clean = ordinary(F.col(text))
+    """``(key, host, template, url, plain, frames, codes)`` of the pages with text: the only pass over the texts.
+
+    ``plain`` is the text in its ordinary form, with the same lines.
+    """
     page = df.where(F.col(text).isNotNull()).select(
         F.col(key).alias("key"),
         F.lower(F.coalesce(F.regexp_extract(url, r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1), F.lit(""))).alias("host"),
         F.regexp_replace(F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("")), "[0-9]+", "0").alias("template"),
         F.coalesce(F.col(url), F.lit("")).alias("url"),
-        F.when(F.length(agency) > 1, F.replace(clean, F.col(agency), F.lit("@"))).otherwise(clean).alias("text"),
-        _bare(F.col(title)).alias("title"),
-        _bare(name).alias("own"),
+        _mark_pages(F.col(text), F.col(agency), F.col(title), name).alias("p"),
     )
-    page = page.withColumn("lines", _lines(F.col("text")))
-    return page.select(
-        "key", "host", "template", "url",
-        F.transform("lines", lambda x: F.xxhash64(_frame(x))).alias("frames"),
-        F.array_join(F.transform("lines", lambda x: _code(x, F.col("own"), F.col("title"))), "").alias("codes"),
-    )
+    return page.select("key", "host", "template", "url", "p.plain", "p.frames", "p.codes")
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -129,7 +171,7 @@ def _by_path(url: str) -> list:
 def _difference(reach: int):
     def run(pages: pd.DataFrame) -> pd.DataFrame:
         pages = pages.iloc[sorted(range(len(pages)), key=lambda i: (_by_path(pages["url"].iat[i]), pages["key"].iat[i]))]
-        frames = [list(map(int, f)) for f in pages["frames"]]
+        frames = [[x for x in f.tolist() if x] for f in pages["frames"]]
         found: Counter = Counter()
         for i, a in enumerate(frames):
             for b in frames[i + 1 : i + 1 + reach]:
@@ -163,19 +205,19 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     return own.select("host", "frame").unionByName(anywhere.select(F.lit("*").alias("host"), "frame"))
 
 
-def furniture_lines(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, **limits: float) -> DataFrame:
-    """Distinct ``(key, line_no)`` of the non-blank lines that belong to the site, ``line_no`` from 0.
+def marked_pages(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, **limits: float) -> DataFrame:
+    """``(key, plain, codes)``: each page's ordinary text and one letter per line; h, F and L are lines of the site.
 
     Lines whose frame neighbouring pages share are deleted, save for those that ``_code`` protects: standing clauses,
     numbered lines, tables and the page's own title recur too, but belong to the notice. Titles below the heading of a
-    side list go with the heading, as each page lists other ones. Pages without text or without a partner give
-    no row; a missing URL counts as one host of its own.
+    side list go with the heading, as each page lists other ones. Pages without text give no row,
+    pages without a partner keep all lines that no other host has; a missing URL counts as one host of its own.
     """
-    pages = checkpoint(page_frames(df, key, url, text, agency, title, name))
+    pages = stored(page_frames(df, key, url, text, agency, title, name))
     shared = checkpoint(shared_frames(pages, **limits))
     every = shared.where("host = '*'").agg(F.collect_set("frame").alias("_every"))
     by_host = shared.where("host <> '*'").groupBy(F.col("host").alias("_host")).agg(F.collect_set("frame").alias("_shared"))
-    known = pages.select("key", "host", "frames", "codes")
+    known = pages.select("key", "host", "plain", "frames", "codes")
     known = known.join(bounded_broadcast(by_host, 5_000), F.col("host") == F.col("_host"), "left").join(F.broadcast(every))
     none = F.array().cast("array<bigint>")
     known = known.withColumn("_shared", F.coalesce("_shared", none))
@@ -191,10 +233,21 @@ def furniture_lines(df: DataFrame, key: str, url: str, text: str, agency: str, t
     codes = F.regexp_replace(F.array_join(seen, ""), r"(?<=h[Ib]{0,12})I", "L")
     # A line between two lines of the site is one too.
     codes = F.regexp_replace(codes, r"(?<=(?:^|[FhL])b{0,8})[SCWI](?=b{0,8}(?:[FhL]|\z))", "L")
-    out = known.select("key", F.posexplode(F.split(codes, "")).alias("line_no", "code"))
+    return known.select("key", "plain", codes.alias("codes"))
+
+
+def furniture_lines(marked: DataFrame) -> DataFrame:
+    """Distinct ``(key, line_no)`` of the non-blank lines that belong to the site, ``line_no`` from 0."""
+    out = marked.select("key", F.posexplode(F.split("codes", "")).alias("line_no", "code"))
     return out.where(F.col("code").isin("h", "F", "L")).select("key", "line_no").distinct()
 
 
+def notice_lines(marked: DataFrame) -> DataFrame:
+    """``(key, lines)``: the lines of the notice alone, in ordinary form."""
+    keep = F.filter(F.split("plain", "\n", -1), lambda x, i: ~F.substring("codes", i + 1, 1).isin("h", "F", "L"))
+    return marked.select("key", keep.alias("lines"))
+
+
 def main_text(df: DataFrame, key: str, text: str, furniture: DataFrame) -> DataFrame:
     """``(key, text, n_removed)``: the texts of ``df`` without their furniture lines, nulls kept null."""
     drop = furniture.groupBy(F.col("key").alias("_key")).agg(F.collect_set("line_no").alias("_drop"))

@@ -107,6 +107,14 @@ def ordinary_form(text: str) -> str:
     return unicodedata.normalize("NFC", s)
 
 
+_SUSPECT = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), SUSPECT))
+
+
+def ordinary_text(text: str) -> str:
+    """``ordinary_form`` behind the quick look for suspect characters."""
+    return ordinary_form(text) if _SUSPECT.search(text) else text
+
+
 @F.pandas_udf(StringType())
 def _look_alike(texts: pd.Series) -> pd.Series:
     return texts.map(look_alike, na_action="ignore").astype(object)

@@ -11,19 +11,19 @@ from noticeweave.llm import boilerplate, canonical, repeated_lines, truncation
 from noticeweave.session import table
 
 
-def furniture_of(subsidies: DataFrame) -> DataFrame:
-    """Furniture lines of the catalogue: ``(key, line_no)``."""
+def marked_subsidies(subsidies: DataFrame) -> DataFrame:
+    """Contents of the catalogue with their lines marked: ``(key, plain, codes)``."""
     name = F.coalesce(F.nullif("program_name", F.lit("")), F.get(F.split("dedupe_key", r"\|"), F.lit(2)))
-    return boilerplate.furniture_lines(subsidies, "id", "official_url", "content", "agency", "title", name)
+    return boilerplate.marked_pages(subsidies, "id", "official_url", "content", "agency", "title", name)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return furniture_of(table(spark, d, "subsidies")).withColumnRenamed("key", "id")
+    return boilerplate.furniture_lines(marked_subsidies(table(spark, d, "subsidies"))).withColumnRenamed("key", "id")
 
 
 def p2_contents(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "subsidies")
-    out = boilerplate.main_text(s, "id", "content", furniture_of(s))
+    out = boilerplate.main_text(s, "id", "content", boilerplate.furniture_lines(marked_subsidies(s)))
     return out.select(F.col("key").alias("id"), F.col("text").alias("content"), "n_removed")
 
 
