@@ -123,8 +123,8 @@ def _mark_pages(text: pd.Series, agency: pd.Series, title: pd.Series, name: pd.S
     return pd.DataFrame(rows, columns=["plain", "frames", "codes"])
 
 
-def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column) -> DataFrame:
-    """``(key, host, template, url, plain, frames, codes)`` of the pages with text: the only pass over the texts.
+def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, keep: tuple = ()) -> DataFrame:
+    """``(key, host, template, url, plain, frames, codes, *keep)`` of the pages with text: the only pass over the texts.
 
     ``plain`` is the text in its ordinary form, with the same lines.
     """
@@ -134,8 +134,9 @@ def page_frames(df: DataFrame, key: str, url: str, text: str, agency: str, title
         F.regexp_replace(F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("")), "[0-9]+", "0").alias("template"),
         F.coalesce(F.col(url), F.lit("")).alias("url"),
         _mark_pages(F.col(text), F.col(agency), F.col(title), name).alias("p"),
+        *[F.col(c).alias(c) for c in keep],
     )
-    return page.select("key", "host", "template", "url", "p.plain", "p.frames", "p.codes")
+    return page.select("key", "host", "template", "url", "p.plain", "p.frames", "p.codes", *keep)
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -205,19 +206,21 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     return own.select("host", "frame").unionByName(anywhere.select(F.lit("*").alias("host"), "frame"))
 
 
-def marked_pages(df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, **limits: float) -> DataFrame:
-    """``(key, plain, codes)``: each page's ordinary text and one letter per line; h, F and L are lines of the site.
+def marked_pages(
+    df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, keep: tuple = (), **limits: float
+) -> DataFrame:
+    """``(key, plain, codes, *keep)``: each page's ordinary text and one letter per line; h, F and L are lines of the site.
 
     Lines whose frame neighbouring pages share are deleted, save for those that ``_code`` protects: standing clauses,
     numbered lines, tables and the page's own title recur too, but belong to the notice. Titles below the heading of a
     side list go with the heading, as each page lists other ones. Pages without text give no row,
     pages without a partner keep all lines that no other host has; a missing URL counts as one host of its own.
     """
-    pages = stored(page_frames(df, key, url, text, agency, title, name))
+    pages = stored(page_frames(df, key, url, text, agency, title, name, keep))
     shared = checkpoint(shared_frames(pages, **limits))
     every = shared.where("host = '*'").agg(F.collect_set("frame").alias("_every"))
     by_host = shared.where("host <> '*'").groupBy(F.col("host").alias("_host")).agg(F.collect_set("frame").alias("_shared"))
-    known = pages.select("key", "host", "plain", "frames", "codes")
+    known = pages.select("key", "host", "plain", "frames", "codes", *keep)
     known = known.join(bounded_broadcast(by_host, 5_000), F.col("host") == F.col("_host"), "left").join(F.broadcast(every))
     none = F.array().cast("array<bigint>")
     known = known.withColumn("_shared", F.coalesce("_shared", none))
@@ -233,7 +236,7 @@ def marked_pages(df: DataFrame, key: str, url: str, text: str, agency: str, titl
     codes = F.regexp_replace(F.array_join(seen, ""), r"(?<=h[Ib]{0,12})I", "L")
     # A line between two lines of the site is one too.
     codes = F.regexp_replace(codes, r"(?<=(?:^|[FhL])b{0,8})[SCWI](?=b{0,8}(?:[FhL]|\z))", "L")
-    return known.select("key", "plain", codes.alias("codes"))
+    return known.select("key", "plain", codes.alias("codes"), *keep)
 
 
 def furniture_lines(marked: DataFrame) -> DataFrame:

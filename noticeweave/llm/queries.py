@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeweave.llm import boilerplate, canonical, repeated_lines, truncation
+from noticeweave.llm import boilerplate, canonical, near_duplicates, repeated_lines, truncation
 from noticeweave.session import table
 
 
-def marked_subsidies(subsidies: DataFrame) -> DataFrame:
+def marked_subsidies(subsidies: DataFrame, keep: tuple = ()) -> DataFrame:
     """Contents of the catalogue with their lines marked: ``(key, plain, codes)``."""
     name = F.coalesce(F.nullif("program_name", F.lit("")), F.get(F.split("dedupe_key", r"\|"), F.lit(2)))
-    return boilerplate.marked_pages(subsidies, "id", "official_url", "content", "agency", "title", name)
+    return boilerplate.marked_pages(subsidies, "id", "official_url", "content", "agency", "title", name, keep)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    marked = marked_subsidies(table(spark, d, "subsidies"), ("dedupe_key",))
+    year, batch = near_duplicates.key_parts(F.col("dedupe_key"))
+    text = near_duplicates.comparable_text("plain", "codes")
+    records = marked.select(F.col("key").alias("id"), year.alias("year"), batch.alias("batch"), text.alias("text"))
+    return near_duplicates.near_duplicate_pairs(records)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
