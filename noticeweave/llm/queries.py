@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeweave.llm import boilerplate, canonical, near_duplicates, repeated_lines, truncation
+from noticeweave.llm import boilerplate, canonical, near_duplicates, repeated_lines, residue, truncation
 from noticeweave.session import table
 
 
@@ -70,5 +70,24 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "subsidies").select("id", "title", "content"), "id", ["title", "content"])
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents"), "doc_id", "text", "url", "source").withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_documents(spark, d).where("residue").select("doc_id").distinct()
+
+
+def p9_usable(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without residue, as they are."""
+    docs = table(spark, d, "documents")
+    bad = p9_documents(spark, d).where("residue").select("doc_id").distinct()
+    return docs.where("text is not null").join(bad, "doc_id", "left_anti").select("doc_id", "text", "lang", "source")
+
+
+def p9_validation(spark: SparkSession, d: str) -> DataFrame:
+    return residue.validation(table(spark, d, "documents"), "doc_id", "text", "url", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
