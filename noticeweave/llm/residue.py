@@ -43,7 +43,7 @@ FILLER_WORDS = (
     r"\b(?:lorem|ipsum|consectetur|adipiscing|eiusmod|incididunt|nostrud|ullamco|laboris|veniam|aliqua|aute|irure)\b"
 )
 # Words by which a clause speaks of such things.
-SPOKEN_OF = r"請填「|以 XXX|填寫範例|請以申請單位|應處理|字樣|回報「|曾有|併案|全數刪除|始得送出|以紙本|視為通訊|須於|不影響"
+SPOKEN_OF = r"請填「|以 XXX|填寫範例|請以申請單位|應處理|出現「|回報「|曾有|併案|全數刪除|始得送出|以紙本|視為通訊|須於|不影響"
 
 _BLANK = re.compile(BLANK_FIELDS)
 _BAD = re.compile(f"(?i:{ERROR_WORDS}|{FILLER_WORDS})")
