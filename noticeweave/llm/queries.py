@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeweave.llm import boilerplate, canonical, near_duplicates, repeated_lines, residue, truncation
-from noticeweave.session import table
+from noticeweave.llm import boilerplate, canonical, mixing, near_duplicates, packing, repeated_lines, residue, tokens, truncation
+from noticeweave.session import stored, table
 
 
 def marked_subsidies(subsidies: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -70,6 +70,30 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "subsidies").select("id", "title", "content"), "id", ["title", "content"])
 
 
+def document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc_id, source, n_tokens)``, tokenised once."""
+    return stored(tokens.with_sizes(table(spark, d, "documents"), "text", ["doc_id", "source"]))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(document_sizes(spark, d), "doc_id", table(spark, d, "token_budgets"))
+    return packed.withColumnRenamed("key", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_report(p7_containers(spark, d))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    drawn = mixing.draw_mix(document_sizes(spark, d), "doc_id", "source", table(spark, d, "mix_targets"))
+    return drawn.withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = document_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.draw_mix(sizes, "doc_id", "source", targets), mixing.plan_mix(sizes, "source", targets))
+
+
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(table(spark, d, "documents"), "doc_id", "text", "url", "source").withColumnRenamed("key", "doc_id")
 
