@@ -63,7 +63,7 @@ def plan_mix(sizes: DataFrame, source: str, targets: DataFrame, total: int | Non
     )
     rows = listed.join(have, "source", "left").withColumn("tokens_available", F.coalesce("tokens_available", F.lit(0)))
     shape = "source string, target_share double, max_repeats int, tokens_available long, planned_tokens double, epochs double, clamped boolean"
-    return rows.groupBy(F.lit(1)).applyInPandas(_plan(total), shape)
+    return rows.groupBy().applyInPandas(_plan(total), shape)
 
 
 def draw_mix(sizes: DataFrame, key: str, source: str, targets: DataFrame, total: int | None = None, seed: int = 17) -> DataFrame:
