@@ -1 +1,134 @@
-ORACLES: dict[str, str] = {}
+"""SQL for DuckDB that computes what the queries of the core compute."""
+
+from __future__ import annotations
+
+_DAY = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} AS DATE) END"
+_SEC = "date_diff('day', DATE '1970-01-01', " + _DAY + ") * 86400"
+_END = (
+    _SEC.format("apply_end")
+    + " + CASE WHEN regexp_full_match(coalesce(apply_end_time, ''), '\\d{1,2}:\\d{2}') THEN CAST(split_part(apply_end_time, ':', 1) AS BIGINT) * 3600"
+    + " + CAST(split_part(apply_end_time, ':', 2) AS BIGINT) * 60 ELSE 86399 END"
+)
+_FLAGS = "('quota_full', 'budget_exhausted', 'closed_early', 'closed')"
+_STATUS = f"""
+s AS (
+    SELECT *, {_SEC.format("apply_start")} AS start_s, {_END} AS end_s, coalesce({_SEC.format("announce_date")}, 0) AS ann_s,
+           coalesce(date_diff('day', {_DAY.format("announce_date")}, DATE '2026-09-15') BETWEEN 0 AND 7, false) AS is_new,
+           date_diff('day', DATE '2026-09-15', {_DAY.format("apply_end")}) AS left_d
+    FROM subsidies
+),
+t AS (
+    SELECT *, CASE WHEN status_flag IN {_FLAGS} THEN 'closed' WHEN 1789473600 > end_s THEN 'closed' WHEN 1789473600 < start_s THEN 'upcoming'
+                   WHEN coalesce(start_s, end_s) IS NOT NULL THEN 'open' ELSE 'unknown' END AS status FROM s
+)
+"""
+_RANK = """
+u AS (
+    SELECT *, CASE WHEN is_new THEN 0 ELSE CASE status WHEN 'open' THEN 1 WHEN 'upcoming' THEN 2 WHEN 'unknown' THEN 3 ELSE 4 END END AS grp FROM t
+)
+"""
+_WS = "[\\s\\x{00A0}\\x{3000}]"
+_URLSTATE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {order}) AS n FROM crawl_urls {where}) WHERE n = 1"
+_BIG = "CASE WHEN length({0}) >= 2 THEN list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) ELSE [] END"
+_SYN = [
+    ("冰水主機|冰水機|冰機|空調主機|冷氣|空調|冷凍空調", "空調 冷卻 冰水 冷氣"), ("馬達|電動機", "電動機 馬達 動力"), ("燈|照明", "照明 燈具"),
+    ("空壓機|空氣壓縮", "空氣壓縮機 壓縮空氣"), ("熱泵|熱水", "熱泵 熱水"), ("醫院|診所|醫療", "醫院 醫療"), ("旅館|飯店|民宿|旅宿", "旅館 住宿 服務業"),
+    ("工廠|製造", "工廠 製造業 工業"), ("學校|機關", "學校 機關"), ("冰箱|冷凍櫃", "冰箱 冷凍"),
+]
+_EXPAND = "concat_ws(' ', q, " + ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{w}' END" for p, w in _SYN) + ")"
+_STRIP = "regexp_replace({0}, '[\\s\\x{{00A0}}\\x{{3000}}\\p{{P}}\\p{{S}}]', '', 'g')"
+_NUMS = "list_distinct(regexp_extract_all(regexp_replace(regexp_replace({0}, '(\\d),(\\d{{3}})', '\\1\\2', 'g'), '(\\d),(\\d{{3}})', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?'))"
+
+ORACLES: dict[str, str] = {
+    "catalog_lifecycle": f"""WITH {_STATUS}, {_RANK}, r AS (
+        SELECT *, row_number() OVER (ORDER BY grp,
+            CASE WHEN grp = 0 THEN -ann_s WHEN grp = 4 THEN -coalesce(end_s, ann_s) ELSE end_s END NULLS LAST,
+            CASE WHEN grp = 0 THEN end_s WHEN grp IN (1, 2, 3) AND end_s IS NULL THEN -ann_s END NULLS LAST,
+            CASE WHEN grp = 0 THEN -ann_s END NULLS LAST, id) AS rank FROM u)
+        SELECT CAST(rank AS INTEGER) AS rank, id, status, is_new, CASE WHEN status = 'open' THEN CAST(left_d AS INTEGER) END AS days_left,
+            CASE WHEN status = 'open' AND left_d = 0 THEN '今天截止' WHEN status = 'open' AND left_d BETWEEN 1 AND 7 THEN '剩餘 ' || left_d || ' 天' END AS hot_text
+        FROM r WHERE rank <= 80""",
+    "status_counts": f"WITH {_STATUS} SELECT coalesce(status, '') AS status, count(*) AS n FROM t GROUP BY ROLLUP (status)",
+    "agency_facet": "SELECT agency, count(*) AS n FROM subsidies WHERE agency IS NOT NULL GROUP BY agency",
+    "category_facet": "SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(target_types)) AS category FROM subsidies) WHERE category IS NOT NULL GROUP BY category",
+    "period_texts": """WITH f AS (
+        SELECT *, '^第\\s*([一二三四五六七八九十\\d]+)\\s*梯次?\\s*([（(]暫定[）)])?\\s*' AS head,
+            CASE WHEN regexp_full_match(apply_start, '\\d{4}-\\d{2}-\\d{2}') THEN replace(apply_start, '-', '/') ELSE '官方未明載' END AS s,
+            CASE WHEN regexp_full_match(apply_end, '\\d{4}-\\d{2}-\\d{2}') THEN replace(apply_end, '-', '/') ELSE '官方未明載' END
+                || CASE WHEN coalesce(apply_end_time, '') <> '' THEN ' ' || apply_end_time ELSE '' END AS e FROM subsidies)
+        SELECT id, CASE WHEN coalesce(period_text, '') <> '' THEN CASE WHEN regexp_matches(period_text, head)
+                THEN regexp_replace(period_text, head, '') || CASE WHEN regexp_extract(period_text, head, 2) <> '' THEN '（暫定）' ELSE '' END ELSE period_text END
+            WHEN coalesce(apply_start, '') <> '' AND coalesce(apply_end, '') <> '' THEN s || ' ～ ' || e || CASE WHEN coalesce(period_varies, false) THEN '（依類別不同）' ELSE '' END
+            WHEN coalesce(apply_start, '') <> '' AND coalesce(until_quota, false) THEN s || ' 起（額滿為止）'
+            WHEN coalesce(apply_start, '') <> '' THEN s || ' 起（截止日官方未明載）' WHEN coalesce(apply_end, '') <> '' THEN '至 ' || e || ' 止'
+            WHEN coalesce(until_quota, false) THEN '額滿為止' ELSE '官方未明載' END AS period FROM f""",
+    "visible_year": f"""WITH v AS (SELECT id, year, hidden, status_flag, CASE WHEN {_DAY.format("apply_end")} IS NOT NULL THEN year({_DAY.format("apply_end")}) >= 2026
+            ELSE coalesce(until_quota, false) END AS runs_on FROM subsidies)
+        SELECT id, year, year <> 2026 AS carried_over FROM v
+        WHERE NOT coalesce(hidden, false) AND (year = 2026 OR (year = 2025 AND status_flag IS NULL AND runs_on))""",
+    "exclusion_anti": """SELECT id FROM subsidies s WHERE NOT coalesce(regexp_matches(title, '(名單$)|(懶人包)|(招標)'), false)
+        AND NOT EXISTS (SELECT 1 FROM crawl_urls c WHERE c.verdict = 'error' AND c.url = s.official_url) AND NOT EXISTS (SELECT 1 FROM crawl_urls c WHERE c.verdict = 'error' AND c.url = s.id)""",
+    "override_layers": """WITH x AS (SELECT DISTINCT url FROM crawl_urls WHERE verdict = 'not' AND url IS NOT NULL),
+        m AS (SELECT s.*, x.url IS NOT NULL OR y.url IS NOT NULL AS manual FROM subsidies s LEFT JOIN x ON x.url = s.official_url LEFT JOIN x y ON y.url = s.id)
+        SELECT id, CASE WHEN manual THEN 'none' WHEN regexp_matches(title, '空調') THEN '空調專區' WHEN regexp_matches(title, '溫室|農') THEN '農業專區' ELSE delegate END AS delegate,
+            CASE WHEN regexp_matches(title, '空調') THEN '設備使用者' ELSE target END AS target, CASE WHEN NOT manual THEN doc_no END AS doc_no, manual FROM m""",
+    "first_seen_urls": "SELECT url, source_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY first_seen_at NULLS FIRST, last_checked_at NULLS FIRST, source_id NULLS FIRST, verdict NULLS FIRST) AS n FROM crawl_urls) WHERE n = 1",
+    "snapshot_upsert": """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_checked_at NULLS FIRST, verdict NULLS FIRST, content_hash NULLS FIRST, fail_count NULLS FIRST) AS n
+            FROM crawl_urls WHERE last_checked_at < TIMESTAMPTZ '2026-01-01 00:00:00+00' AND url IS NOT NULL) WHERE n = 1),
+        w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_checked_at DESC NULLS LAST, verdict DESC NULLS LAST, content_hash DESC NULLS LAST, subsidy_id DESC NULLS LAST) AS n
+            FROM crawl_urls WHERE last_checked_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND url IS NOT NULL) WHERE n = 1)
+        SELECT coalesce(w.url, o.url) AS url, CASE WHEN w.url IS NULL THEN o.subsidy_id ELSE coalesce(w.subsidy_id, o.subsidy_id) END AS subsidy_id,
+            epoch_us(CASE WHEN o.url IS NULL THEN w.first_seen_at ELSE o.first_seen_at END) AS first_us, epoch_us(CASE WHEN w.url IS NULL THEN o.last_checked_at ELSE w.last_checked_at END) AS last_us
+        FROM o FULL OUTER JOIN w ON o.url = w.url""",
+    "merged_records": """WITH u AS (SELECT dedupe_key, x, min(struct_pack(f := first_seen_at, i := id, p := p)) AS place FROM (
+            SELECT dedupe_key, first_seen_at, id, unnest(source_urls) AS x, unnest(range(len(source_urls))) AS p FROM subsidies WHERE dedupe_key IS NOT NULL) WHERE x IS NOT NULL GROUP BY ALL),
+        l AS (SELECT dedupe_key, string_agg(x, ' ' ORDER BY n) AS source_urls FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY place, x) AS n FROM u) WHERE n <= 20 GROUP BY dedupe_key)
+        SELECT s.dedupe_key, arg_min(target, struct_pack(f := first_seen_at, i := id)) FILTER (WHERE target IS NOT NULL) AS target,
+            arg_min(doc_no, struct_pack(f := first_seen_at, i := id)) FILTER (WHERE doc_no IS NOT NULL) AS doc_no,
+            arg_min(amount_text, struct_pack(f := first_seen_at, i := id)) FILTER (WHERE amount_text IS NOT NULL) AS amount_text,
+            coalesce(bool_or(until_quota), false) AS until_quota, count(*) AS n_merged, coalesce(any_value(l.source_urls), '') AS source_urls
+        FROM subsidies s LEFT JOIN l ON l.dedupe_key = s.dedupe_key WHERE s.dedupe_key IS NOT NULL GROUP BY s.dedupe_key""",
+    "unique_keys": "SELECT id, CASE WHEN row_number() OVER (PARTITION BY dedupe_key ORDER BY id) > 1 THEN dedupe_key || '|' || id ELSE dedupe_key END AS dedupe_key FROM subsidies",
+    "content_changes": """WITH d AS (SELECT DISTINCT url, last_checked_at, content_hash FROM crawl_urls WHERE last_checked_at IS NOT NULL),
+        l AS (SELECT *, row_number() OVER w AS n, lag(content_hash) OVER w AS before FROM d WINDOW w AS (PARTITION BY url ORDER BY last_checked_at, content_hash NULLS FIRST))
+        SELECT CASE WHEN n = 1 THEN 'new' WHEN content_hash IS NOT DISTINCT FROM before THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM l GROUP BY 1""",
+    "failure_runs": """WITH g AS (SELECT id, NOT coalesce(ok, false) AS bad, sum(CASE WHEN coalesce(ok, false) THEN 1 ELSE 0 END) OVER (ORDER BY id) AS run FROM scan_log)
+        SELECT min(id) AS first, max(id) AS last, count(*) AS n FROM g WHERE bad GROUP BY run""",
+    "retained_log": "SELECT id, ok FROM scan_log WHERE id > (SELECT max(id) FROM scan_log) - 1000",
+    "crawl_worklist": """WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_checked_at NULLS FIRST, verdict NULLS FIRST, fail_count NULLS FIRST, list_date NULLS FIRST) AS n
+            FROM crawl_urls WHERE url IS NOT NULL) WHERE n = 1),
+        p AS (SELECT url, list_date, CASE WHEN verdict IS NULL OR last_checked_at IS NULL THEN 0
+            WHEN verdict = 'error' AND epoch_us(TIMESTAMPTZ '2026-09-15 04:00:00+00') // 1000000 - epoch_us(last_checked_at) // 1000000 >= 7200 AND coalesce(fail_count, 0) < 12 THEN 1
+            WHEN verdict = 'subsidy' AND epoch_us(TIMESTAMPTZ '2026-09-15 04:00:00+00') // 1000000 - epoch_us(last_checked_at) // 1000000 >= 21600 THEN 2 END AS priority FROM c)
+        SELECT url, priority FROM p WHERE priority IS NOT NULL ORDER BY priority, coalesce(list_date, '') DESC, url LIMIT 150""",
+    "source_health": """WITH n AS (SELECT source_id, count(DISTINCT url) AS n_pages, sum(CASE WHEN verdict = 'subsidy' THEN 1 ELSE 0 END) AS n_subsidy,
+            sum(CASE WHEN verdict = 'not' THEN 1 ELSE 0 END) AS n_not, sum(CASE WHEN verdict = 'error' THEN 1 ELSE 0 END) AS n_error FROM crawl_urls GROUP BY source_id)
+        SELECT s.source_id, s.agency, CAST(coalesce(n_pages, 0) AS BIGINT) AS n_pages, CAST(coalesce(n_subsidy, 0) AS BIGINT) AS n_subsidy, CAST(coalesce(n_not, 0) AS BIGINT) AS n_not,
+            CAST(coalesce(n_error, 0) AS BIGINT) AS n_error, coalesce(consecutive_failures, 0) >= 6 OR last_success_at IS NULL AS alarm
+        FROM sources_status s LEFT JOIN n ON n.source_id = s.source_id""",
+    "unlisted_pages": """SELECT s.id, s.official_url AS url, coalesce(f.source_id, 'known') AS source_id FROM subsidies s
+        LEFT JOIN (SELECT agency, min(source_id) AS source_id FROM sources_status GROUP BY agency) f ON f.agency = s.agency
+        WHERE s.official_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM crawl_urls c WHERE c.list_date IS NOT NULL AND c.url = s.official_url)""",
+    "page_hosts": """SELECT nullif(lower(regexp_extract(coalesce(url, ''), '^https?://(?:www\\.)?([^/:?#]+)', 1)), '') AS host, count(DISTINCT url) AS n_urls, count(*) AS n_rows FROM crawl_urls GROUP BY 1""",
+    "robots_allowed": """WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^https?://(?:www\\.)?([^/:?#]+)', 1)) AS host, regexp_replace(url, '^https?://[^/?#]*', '') AS path FROM crawl_urls WHERE url IS NOT NULL)
+        SELECT url, CASE WHEN host NOT IN ('hcm.example', 'ses.example', 'geo.example') THEN true WHEN regexp_full_match(path, '/view\\.do') THEN false WHEN regexp_matches(path, '^/sub/8/') THEN true
+            WHEN regexp_matches(path, '^/.*\\?n=6') THEN false WHEN regexp_matches(path, '^/sub/') THEN false ELSE true END AS allowed FROM u""",
+    "validated_rows": """SELECT id, concat_ws(',', CASE WHEN NOT coalesce(regexp_full_match(id, '[a-f0-9]{8,32}'), false) THEN 'id' END,
+            CASE WHEN NOT coalesce(length(trim(title, ' ')) > 0, false) THEN 'title' END, CASE WHEN NOT coalesce(regexp_matches(official_url, '^https?://'), false) THEN 'official_url' END,
+            CASE WHEN NOT regexp_full_match(announce_date, '\\d{4}-\\d{2}-\\d{2}') THEN 'announce_date' END, CASE WHEN NOT regexp_full_match(apply_end, '\\d{4}-\\d{2}-\\d{2}') THEN 'apply_end' END,
+            CASE WHEN NOT regexp_full_match(apply_end_time, '([01]\\d|2[0-3]):[0-5]\\d') THEN 'apply_end_time' END, CASE WHEN NOT year BETWEEN 1990 AND 2100 THEN 'year' END,
+            CASE WHEN NOT status_flag IN ('quota_full', 'budget_exhausted', 'closed_early', 'closed') THEN 'status_flag' END, CASE WHEN NOT views >= 0 THEN 'views' END) AS errors FROM subsidies""",
+    "daily_quota": """WITH n AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts + INTERVAL 8 HOUR AS DATE) ORDER BY ts, event_id) <= 5 AS admitted FROM events)
+        SELECT day, admitted, count(*) AS n FROM n GROUP BY ALL""",
+    "relevance_topk": f"""WITH q0 AS (SELECT doc_id AS qid, substr(split_part(text, chr(10), 1), 1, 60) AS q FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+        q1 AS (SELECT qid, {_STRIP.format(_EXPAND)} AS t FROM q0), q2 AS (SELECT qid, unnest({_BIG.format("t")}) AS g FROM q1),
+        n1 AS (SELECT id, {_STRIP.format("concat_ws(' ', title, summary, target)")} AS t FROM subsidies), n2 AS (SELECT id, unnest({_BIG.format("t")}) AS g FROM n1),
+        s AS (SELECT qid, id, count(*) AS score FROM q2 JOIN n2 USING (g) GROUP BY qid, id HAVING count(*) >= 3)
+        SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 6""",
+    "number_provenance": f"""SELECT id, len(list_filter({_NUMS.format("summary")}, lambda x: NOT list_contains({_NUMS.format("content")}, x))) = 0 AS supported
+        FROM subsidies WHERE summary IS NOT NULL AND content IS NOT NULL""",
+    "url_allowlist": "SELECT id, '請見 ' || official_url || '。另見 （網址請見詳細資訊）.' AS answer FROM subsidies WHERE official_url IS NOT NULL",
+    "agency_context": """SELECT agency, string_agg(concat_ws(' | ', 'title: ' || title, 'year: ' || year, 'apply_end: ' || apply_end), chr(10) ORDER BY id) AS context
+        FROM subsidies WHERE agency IS NOT NULL GROUP BY agency""",
+    "stream_daily_counts": "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+}

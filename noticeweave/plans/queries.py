@@ -1,16 +1,29 @@
-"""Registered queries of the core: callables of (spark, sf_dir)."""
+"""Registered queries of the core: callables of (spark, sf_dir), each over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeweave.operators import timestamps
-from noticeweave.session import table
+from noticeweave.functions import lifecycle as L
+from noticeweave.functions import text as T
+from noticeweave.operators import ask, catalog, crawl, merge, resolve, timestamps, validate
+from noticeweave.session import checkpoint, table
+from noticeweave.sources import pages, robots
 
+#: The clock of the queries: 2026-09-15 12:00:00 in UTC+8, as civil seconds since 1970 and as an instant.
+NOW_S = 1789473600
+NOW = "2026-09-15 04:00:00+00:00"
+YEAR = 2026
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# A robots file for the queries; hosts of the test tables.
+ROBOTS = "User-agent: *\nDisallow: /sub/\nAllow: /sub/8/\nDisallow: /*?n=6\nDisallow: /view.do$\n"
+EXCLUDED = [r"名單$", r"懶人包", r"招標"]
+RULES = [("溫室|農", {"delegate": "農業專區"}), ("空調", {"delegate": "空調專區", "target": "設備使用者"})]
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -20,3 +33,240 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.timestamps_found(table(spark, d, "subsidies"))
+
+
+@query
+def p3_times(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with how its instant was found."""
+    return timestamps.normalise_subsidy_times(table(spark, d, "subsidies"))
+
+
+@query
+def catalog_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "title", "agency", "announce_date", "apply_start", "apply_end", "apply_end_time", "status_flag")
+    return catalog.lifecycle_top(rows, NOW_S, 80).select("rank", "id", "status", "is_new", "days_left", "hot_text")
+
+
+@query
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.status_facet(catalog.with_status(table(spark, d, "subsidies"), NOW_S))
+
+
+@query
+def agency_facet(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsidies").where("agency is not null").groupBy("agency").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def category_facet(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.category_facet(table(spark, d, "subsidies"), "target_types")
+
+
+@query
+def period_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    text = L.period_text(c("period_text"), c("apply_start"), c("apply_end"), c("apply_end_time"), c("until_quota"), c("period_varies"))
+    return table(spark, d, "subsidies").select("id", text.alias("period"))
+
+
+@query
+def visible_year(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "year", "status_flag", "apply_end", "until_quota", "hidden")
+    return catalog.visible(rows, YEAR).select("id", "year", "carried_over")
+
+
+@query
+def exclusion_anti(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "title", "official_url")
+    dead = table(spark, d, "crawl_urls").where("verdict = 'error'").select(F.col("url").alias("target"))
+    return catalog.without_excluded(rows, dead, EXCLUDED).select("id")
+
+
+@query
+def override_layers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "title", "official_url", "delegate", "target", "doc_no")
+    # Exact overrides as data: pages that turned out not to be notices lose their number and say so.
+    wrong = table(spark, d, "crawl_urls").where("verdict = 'not' and url is not null").select(F.col("url").alias("target")).distinct()
+    exact = wrong.withColumn("set", F.create_map(F.lit("doc_no"), F.lit(None).cast("string"), F.lit("delegate"), F.lit("none")))
+    return catalog.layered(rows, exact, RULES, ["delegate", "target", "doc_no"]).select("id", "delegate", "target", "doc_no", "manual")
+
+
+@query
+def normalized_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = resolve.with_keys(table(spark, d, "subsidies").select("id", "agency", "year", "title", "program_name"))
+    return rows.select("id", "name", "batch", "key", "key_id")
+
+
+@query
+def display_titles(spark: SparkSession, d: str) -> DataFrame:
+    shown = T.display_title(F.lit(None).cast("string"), F.col("title"), F.col("program_name"))
+    return table(spark, d, "subsidies").select("id", shown.alias("display_title"))
+
+
+@query
+def first_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsidies").select("id", T.first_date(F.col("content")).alias("first_date"))
+
+
+@query
+def first_seen_urls(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "crawl_urls").select("url", "source_id", "first_seen_at", "last_checked_at", "verdict")
+    return merge.first_wins(rows, "url", ["first_seen_at", "last_checked_at", "source_id", "verdict"]).select("url", "source_id", "verdict")
+
+
+@query
+def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "crawl_urls").select("url", "verdict", "content_hash", "subsidy_id", "first_seen_at", "last_checked_at", "fail_count")
+    cut = F.lit("2026-01-01 00:00:00+00:00").cast("timestamp")
+    old = merge.first_wins(rows.where(F.col("last_checked_at") < cut), "url", ["last_checked_at", "verdict", "content_hash", "fail_count"])
+    new = rows.where(F.col("last_checked_at") >= cut)
+    out = merge.upsert(old, new, "url", "last_checked_at", ["first_seen_at"], ["subsidy_id"])
+    return out.select("url", "subsidy_id", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_checked_at").alias("last_us"))
+
+
+@query
+def merged_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "dedupe_key", "first_seen_at", "target", "doc_no", "amount_text", "until_quota", "source_urls")
+    out = merge.merge_group(rows.where("dedupe_key is not null"), "dedupe_key", ["first_seen_at", "id"], ["target", "doc_no", "amount_text"], ["source_urls"], ["until_quota"])
+    return out.withColumn("source_urls", F.array_join("source_urls", " "))
+
+
+@query
+def unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    return merge.unique_keys(table(spark, d, "subsidies").select("id", "dedupe_key"), "dedupe_key", "id")
+
+
+@query
+def content_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "crawl_urls").where("last_checked_at is not null").select("url", "last_checked_at", "content_hash").distinct()
+    out = merge.changes(rows, "url", ["last_checked_at", "content_hash"], "content_hash")
+    return out.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def failure_runs(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.failure_runs(table(spark, d, "scan_log"), "id", "ok").select("first", "last", "n")
+
+
+@query
+def retained_log(spark: SparkSession, d: str) -> DataFrame:
+    return merge.keep_last(table(spark, d, "scan_log").select("id", "ok"), "id", 1000)
+
+
+@query
+def log_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Number of keys of each run's statistics; broken or empty JSON counts as none."""
+    keys = F.size(F.coalesce(F.json_object_keys(F.when(F.try_parse_json("stats").isNotNull(), F.col("stats"))), F.array().cast("array<string>")))
+    return table(spark, d, "scan_log").select("id", keys.alias("n_keys"), F.size(F.coalesce("errors", F.array().cast("array<string>"))).alias("n_errors"))
+
+
+@query
+def crawl_worklist(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "crawl_urls").select("url", "verdict", "list_date", "fail_count", "last_checked_at").where("url is not null")
+    state = merge.first_wins(rows, "url", ["last_checked_at", "verdict", "fail_count", "list_date"])
+    return crawl.work_list(state, NOW).select("url", "priority")
+
+
+@query
+def source_health(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.source_health(table(spark, d, "sources_status"), table(spark, d, "crawl_urls"))
+
+
+@query
+def unlisted_pages(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "crawl_urls").where("list_date is not null").select("url")
+    return crawl.unseen_known(table(spark, d, "subsidies"), listed, table(spark, d, "sources_status"))
+
+
+@query
+def page_hosts(spark: SparkSession, d: str) -> DataFrame:
+    host = crawl.host_of(F.col("url"))
+    return table(spark, d, "crawl_urls").groupBy(host.alias("host")).agg(F.countDistinct("url").alias("n_urls"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    urls = table(spark, d, "crawl_urls").where("url is not null").select("url").distinct().withColumn("host", crawl.host_of(F.col("url")))
+    rules = robots.rules_of(spark, {"hcm.example": ROBOTS, "ses.example": ROBOTS, "geo.example": ROBOTS})
+    return robots.allowed(urls, rules).select("url", "allowed")
+
+
+@query
+def validated_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = validate.flagged(table(spark, d, "subsidies"), validate.subsidy_rules())
+    return rows.select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def daily_quota(spark: SparkSession, d: str) -> DataFrame:
+    rows = ask.admitted(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 5)
+    return rows.groupBy("day", "admitted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def relevance_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Questions: the first lines of every twentieth document; against all notices' titles and summaries."""
+    q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), F.left(F.split("text", "\n", 2)[0], F.lit(60)).alias("question"))
+    n = table(spark, d, "subsidies").select("id", F.concat_ws(" ", "title", "summary", "target").alias("text"))
+    return ask.relevance_top(q, n)
+
+
+@query
+def similar_names(spark: SparkSession, d: str) -> DataFrame:
+    keyed = resolve.with_keys(table(spark, d, "subsidies").select("agency", "year", "title", "program_name"))
+    names = keyed.where("agency <> '' and name <> ''").select("agency", "name").distinct().withColumn("node", F.concat("agency", F.lit("|"), "name"))
+    names = checkpoint(names)  # read on both sides of the join
+    return resolve.similar_names(names, names).where("a < b")
+
+
+@query
+def match_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Visited pages against the catalogue, by address, by key of the title and by number."""
+    c = table(spark, d, "crawl_urls").where("url is not null and verdict = 'subsidy'")
+    docs = c.groupBy("url").agg(F.min("title").alias("title"), F.min("subsidy_id").alias("subsidy_id"))
+    docs = docs.select(F.col("url").alias("doc"), F.array("url").alias("urls"), T.normalize_name(F.col("title"), F.lit("")).alias("key"), F.lit("").alias("doc_no"))
+    s = table(spark, d, "subsidies")
+    known = s.select("id", F.concat(F.array("official_url"), F.coalesce("source_urls", F.array().cast("array<string>"))).alias("urls"),
+                     T.normalize_name(F.col("title"), F.lit("")).alias("key"), F.coalesce("doc_no", F.lit("")).alias("doc_no"))
+    return resolve.match_cascade(docs, known)
+
+
+@query
+def number_provenance(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").where("summary is not null and content is not null")
+    return rows.select("id", ask.numbers_from(F.col("summary"), F.col("content")).alias("supported"))
+
+
+@query
+def url_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").where("official_url is not null")
+    said = F.concat(F.lit("請見 "), "official_url", F.lit("。另見 https://elsewhere.example/page."))
+    return rows.select("id", ask.hold_to_urls(said, F.array("official_url")).alias("answer"))
+
+
+@query
+def agency_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").where("agency is not null").select("agency", "id", "title", "year", "apply_end")
+    return ask.context_lines(rows, "agency", "id", ["title", "year", "apply_end"])
+
+
+@query
+def page_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Notices rendered as pages and read back: title, heading and links survive."""
+    rows = table(spark, d, "subsidies").where("title is not null and official_url is not null").select("id", "title", "official_url", "content")
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.replace(esc(F.coalesce("content", F.lit(""))), F.lit("\n"), F.lit("</p><p>"))
+    html = F.concat(F.lit("<html><head><title>"), esc(F.col("title")), F.lit('</title></head><body><nav><a href="/">首頁首頁首頁</a></nav><main><h1>'), esc(F.col("title")),
+                    F.lit("</h1><p>"), body, F.lit('</p><ul><li><a href="'), "official_url", F.lit('">'), esc(F.col("title")), F.lit("</a></li></ul></main></body></html>"))
+    page = rows.select("id", "official_url", html.alias("html"))
+    got = page.select("id", pages.main_of("html").alias("m"), pages.links_of("html", "official_url").alias("links"))
+    return got.select("id", "m.title", "m.heading", F.length("m.text").alias("n_text"), F.size(F.filter("links", lambda x: ~x["in_nav"])).alias("n_links"))
+
+
+@query
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by local day and kind, as the streaming function computes them."""
+    from noticeweave.streaming.state import daily_counts
+
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return daily_counts(rows, "ts", "event_type")
