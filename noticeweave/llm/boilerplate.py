@@ -173,11 +173,12 @@ def _difference(reach: int):
     def run(pages: pd.DataFrame) -> pd.DataFrame:
         pages = pages.iloc[sorted(range(len(pages)), key=lambda i: (_by_path(pages["url"].iat[i]), pages["key"].iat[i]))]
         frames = [[x for x in f.tolist() if x] for f in pages["frames"]]
+        digest = pages["digest"].tolist()
         found: Counter = Counter()
         for i, a in enumerate(frames):
-            for b in frames[i + 1 : i + 1 + reach]:
-                if a != b:  # a copy of the same page says nothing about the site
-                    found.update(set(common_lines(a, b)))
+            for j in range(i + 1, min(i + 1 + reach, len(frames))):
+                if digest[i] != digest[j]:  # a copy of the same page says nothing about the site
+                    found.update(set(common_lines(a, frames[j])))
         host = pages["host"].iat[0] if len(pages) else ""
         return pd.DataFrame({"host": host, "frame": pd.Series(list(found), dtype="int64"), "n": pd.Series(list(found.values()), dtype="int64")})
 
@@ -194,7 +195,7 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     neighbours happen not to, a frame counts everywhere once alignments or pages of several hosts share it.
     """
     sizes = pages.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_n"))
-    cut = pages.select("host", "template", "url", "key", "frames").join(bounded_broadcast(sizes, 50_000), ["host", "template"])
+    cut = pages.select("host", "template", "url", "key", "frames", F.xxhash64("plain").alias("digest")).join(bounded_broadcast(sizes, 50_000), ["host", "template"])
     cut = cut.withColumn("_b", F.pmod(F.xxhash64("url"), F.ceil(F.col("_n") / bucket)))
     pairs = cut.groupBy("host", "template", "_b").applyInPandas(_difference(reach), "host string, frame long, n long")
     n_host = sizes.groupBy("host").agg((reach * F.sum("_n")).alias("_pairs"))
