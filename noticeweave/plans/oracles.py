@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from noticeweave.functions.text import _FROM, _TO, NOTICE_WORDS, WIDE_SIGNS
+
 _DAY = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} AS DATE) END"
 _SEC = "date_diff('day', DATE '1970-01-01', " + _DAY + ") * 86400"
 _END = (
@@ -39,6 +41,37 @@ _EXPAND = "concat_ws(' ', q, " + ", ".join(f"CASE WHEN regexp_matches(q, '{p}')
 _STRIP = "regexp_replace({0}, '[\\s\\x{{00A0}}\\x{{3000}}\\p{{P}}\\p{{S}}]', '', 'g')"
 _NUMS = "list_distinct(regexp_extract_all(regexp_replace(regexp_replace({0}, '(\\d),(\\d{{3}})', '\\1\\2', 'g'), '(\\d),(\\d{{3}})', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?'))"
 
+
+
+def _replace_all(text: str, steps: list[tuple[str, str, str]]) -> str:
+    for pattern, new, mode in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}'{mode})"
+    return text
+
+
+_Q = "regexp_extract({0}, '[「『]([^」』]{{4,60}})[」』]', 1)"
+_SHOWN = _replace_all("n", [
+    ("^[\\s\\x{3000}]*(\\[[^\\]]*\\]|【[^】]*】)\\s*", "", ""), ("^(公告|修正|訂定|徵求)\\s*", "", ""),
+    ("^(中華民國)?\\s*(\\d{2,4}|一百[零一二三四五六七八九十]{0,3})\\s*(年度|年)\\s*[-－–—:：]?\\s*", "", ""),
+    ("[（(](修正版|已結束|已結束申請|更新版?)[）)]\\s*\\z", "", ""), ("(作業要點|補助要點|作業規範|申請須知|須知|相關規定公告|相關規定|公告)\\z", "", ""),
+    ("要點\\z", "", ""), ("(補助|獎勵|計畫|專案)(購買|受理|委託|申請|相關|、|之).*\\z", "\\1", ", 's'"),
+])
+_DISPLAY = f"""WITH a AS (SELECT id, coalesce(title, '') AS t, program_name FROM subsidies),
+    b AS (SELECT id, t, CASE WHEN {_Q.format("t")} <> '' THEN {_Q.format("t")} WHEN coalesce(program_name, '') <> '' THEN program_name ELSE t END AS n FROM a)
+    SELECT id, coalesce(nullif(trim({_SHOWN}, ' '), ''), t) AS display_title FROM b"""
+_PLAIN = f"regexp_replace(translate(coalesce({{0}}, ''), '{WIDE_SIGNS[0] + _FROM}', '{WIDE_SIGNS[1] + _TO}'), '[\\x{{{{00A0}}}}\\x{{{{3000}}}}\\t]+', ' ', 'g')"
+_NAME_STEPS = _replace_all("s", [
+    ("(中華民國)?\\s*\\d{2,4}\\s*[-~至]?\\s*\\d{0,4}\\s*(年度|年)", "", ", 'g'"), ("第\\s*[一二三四五六七八九十\\d]+\\s*(梯次|次|期|波)", "", ", 'g'"),
+    (NOTICE_WORDS, "", ", 'g'"), ("[\\s\\p{P}\\p{S}]", "", ", 'g'"),
+])
+_NAMES = f"""WITH a AS (SELECT *, {_PLAIN.format("CASE WHEN coalesce(program_name, '') <> '' THEN program_name ELSE title END")} AS u, {_PLAIN.format("title")} AS pt FROM subsidies),
+    b AS (SELECT *, CASE WHEN coalesce(program_name, '') = '' AND {_Q.format("u")} <> '' THEN {_Q.format("u")} ELSE u END AS s,
+        regexp_extract(pt, '第\\s*([一二三四五六七八九十\\d]+)\\s*(梯次|次|期|波)', 1) AS raw FROM a),
+    c AS (SELECT id, agency, year, lower({_NAME_STEPS}) AS name, CASE WHEN regexp_full_match(raw, '\\d+') THEN CAST(CAST(raw AS BIGINT) AS VARCHAR)
+        WHEN length(raw) = 1 THEN CAST(instr('一二三四五六七八九十', raw) AS VARCHAR) ELSE raw END AS batch FROM b),
+    d AS (SELECT *, coalesce(agency, '') || '|' || coalesce(CAST(year AS VARCHAR), '') || '|' || name || '|' || batch AS key FROM c)
+    SELECT id, name, batch, key, substr(sha1(key), 1, 12) AS key_id FROM d"""
+
 ORACLES: dict[str, str] = {
     "catalog_lifecycle": f"""WITH {_STATUS}, {_RANK}, r AS (
         SELECT *, row_number() OVER (ORDER BY grp,
@@ -131,4 +164,8 @@ ORACLES: dict[str, str] = {
     "agency_context": """SELECT agency, string_agg(concat_ws(' | ', 'title: ' || title, 'year: ' || year, 'apply_end: ' || apply_end), chr(10) ORDER BY id) AS context
         FROM subsidies WHERE agency IS NOT NULL GROUP BY agency""",
     "stream_daily_counts": "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "display_titles": _DISPLAY,
+    "log_stats": """SELECT id, CAST(CASE WHEN json_valid(stats) THEN CASE WHEN json_type(stats) = 'OBJECT' THEN len(json_keys(stats)) ELSE 0 END ELSE 0 END AS INTEGER) AS n_keys,
+        CAST(coalesce(len(errors), 0) AS INTEGER) AS n_errors FROM scan_log""",
+    "normalized_names": _NAMES,
 }
