@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,14 @@ URL = r"https?://[A-Za-z0-9\-._~:/?#\[\]@!$&*+,;=%]+"
 NO_URL = "（網址請見詳細資訊）"
 
 
+def letters(c: Column) -> Column:
+    """Letters and digits alone, signs and spaces left out."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s 　\p{P}\p{S}]", "")
+
+
 def bigram_set(c: Column) -> Column:
     """Distinct pairs of letters and digits, signs and spaces left out."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s 　\p{P}\p{S}]", "")
+    s = letters(c)
     n = F.length(s)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
@@ -54,6 +60,59 @@ def relevance_top(questions: DataFrame, notices: DataFrame, k: int = 6, least: i
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _pair_codes(text: str) -> np.ndarray:
+    """Distinct pairs of neighbouring code points as numbers."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return np.unique(c[:-1] << 21 | c[1:])
+
+
+def _best_of_block(k: int, least: int):
+    def run(questions: pd.DataFrame, notices: pd.DataFrame) -> pd.DataFrame:
+        notices = notices.sort_values("id", kind="stable")
+        found, n = [], len(notices)
+        sets = [_pair_codes(t) for t in notices["text"]]
+        every = np.concatenate([*sets, np.empty(0, dtype=np.int64)])
+        # Inverted lists: the notices of pair ``words[i]`` are ``owner[begin[i]:begin[i + 1]]``.
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(n), [len(x) for x in sets])[order]
+        words, begin = np.unique(every[order], return_index=True)
+        begin = np.append(begin, len(every))
+        for qid, text in zip(questions["qid"].tolist(), questions["text"]):
+            at = np.nonzero(np.isin(words, _pair_codes(text), assume_unique=True))[0]
+            if not len(at):
+                continue
+            score = np.bincount(np.concatenate([owner[begin[i] : begin[i + 1]] for i in at]), minlength=n)
+            place = score * n - np.arange(n)  # ties go to the smaller id
+            best = np.argpartition(-place, k)[:k] if n > k else np.arange(n)
+            found += [(qid, i, score[i]) for i in best.tolist() if score[i] >= least]
+        qids, rows, scores = zip(*found) if found else ((), (), ())
+        ids = notices["id"].iloc[list(rows)].reset_index(drop=True)
+        return pd.DataFrame({"qid": pd.Series(list(qids), dtype=questions["qid"].dtype), "id": ids, "score": pd.Series(list(scores), dtype="int64")})
+
+    return run
+
+
+def relevance_top_whole(questions: DataFrame, notices: DataFrame, k: int = 6, least: int = 3, block: int = 4000) -> DataFrame:
+    """``relevance_top`` for questions of any length.
+
+    A whole text shares some pair with nearly every notice, so joined pairs would be as many as questions times
+    notices times common pairs. Instead blocks of at most about ``block`` questions and notices meet, each pair of
+    blocks counts on arrays and gives its ``k`` best, and the best of these are the best of all. Nothing is left out;
+    the cost stays questions times notices.
+    """
+    q = questions.select("qid", letters(expanded(F.col("question"))).alias("text"))
+    n = notices.select("id", letters(F.col("text")).alias("text"))
+    blocks = [max(1, -(-df.count() // block)) for df in (q, n)]
+    part = lambda c, i: F.pmod(F.xxhash64(c), F.lit(blocks[i])).cast("int")
+    each = lambda i: F.explode(F.sequence(F.lit(0), F.lit(blocks[i] - 1)))
+    q = q.select("qid", "text", part("qid", 0).alias("a"), each(1).alias("b")).groupBy("a", "b")
+    n = n.select("id", "text", each(0).alias("a"), part("id", 1).alias("b")).groupBy("a", "b")
+    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, id {notices.schema['id'].dataType.simpleString()}"
+    scores = q.cogroup(n).applyInPandas(_best_of_block(k, least), f"{kinds}, score long")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def admitted(requests: DataFrame, client: str, at: str, ident: str, cap: int, hours: int = 8) -> DataFrame:
     """Requests with their local day and whether the client's first ``cap`` of that day admit them.
 

@@ -211,6 +211,14 @@ def relevance_topk(spark: SparkSession, d: str) -> DataFrame:
     return ask.relevance_top(q, n)
 
 
+@query
+def relevance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Questions: the whole text of every twentieth document; against all that a notice says of itself, kinds of targets and amounts included."""
+    q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+    n = table(spark, d, "subsidies").select("id", F.concat_ws(" ", "title", "summary", "target", "target_types", "amount_details").alias("text"))
+    return ask.relevance_top_whole(q, n)
+
+
 @query
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
     keyed = resolve.with_keys(table(spark, d, "subsidies").select("agency", "year", "title", "program_name"))
