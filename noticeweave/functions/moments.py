@@ -7,8 +7,11 @@ abbreviation that was written, and, where the text states an offset, the instant
 from __future__ import annotations
 
 import calendar
+import os
 import re
-from datetime import date, timedelta
+import struct
+import zoneinfo
+from datetime import date, datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,6 +47,34 @@ ZONE_OF = {
     "歐洲中部": "Europe/Brussels", "東京": "Asia/Tokyo", "日本": "Asia/Tokyo", "首爾": "Asia/Seoul",
     "雪梨": "Australia/Sydney", "新加坡": "Asia/Singapore", "香港": "Asia/Hong_Kong",
     "台北": "Asia/Taipei", "臺北": "Asia/Taipei", "台灣": "Asia/Taipei", "臺灣": "Asia/Taipei",
+    "HST": "Pacific/Honolulu", "AKST": "America/Anchorage", "AKDT": "America/Anchorage", "CT": "America/Chicago", "MT": "America/Denver",
+    "AST": "America/Halifax", "ADT": "America/Halifax", "NST": "America/St_Johns", "NDT": "America/St_Johns",
+    "BRT": "America/Sao_Paulo", "ART": "America/Argentina/Buenos_Aires", "CLT": "America/Santiago", "COT": "America/Bogota", "PET": "America/Lima",
+    "MSK": "Europe/Moscow", "TRT": "Europe/Istanbul", "MEZ": "Europe/Berlin", "MESZ": "Europe/Berlin",
+    "SAST": "Africa/Johannesburg", "EAT": "Africa/Nairobi", "WAT": "Africa/Lagos", "CAT": "Africa/Maputo",
+    "IDT": "Asia/Jerusalem", "IRST": "Asia/Tehran", "GST": "Asia/Dubai", "PKT": "Asia/Karachi", "NPT": "Asia/Kathmandu", "MMT": "Asia/Yangon",
+    "ICT": "Asia/Bangkok", "WIB": "Asia/Jakarta", "WITA": "Asia/Makassar", "WIT": "Asia/Jayapura", "PHT": "Asia/Manila", "MYT": "Asia/Kuala_Lumpur",
+    "AWST": "Australia/Perth", "ACST": "Australia/Adelaide", "ACDT": "Australia/Adelaide",
+    "格林威治": "UTC", "格林尼治": "UTC", "格林威治平均": "UTC", "世界協調": "UTC", "協調世界": "UTC",
+    "波士頓": "America/New_York", "多倫多": "America/Toronto", "溫哥華": "America/Vancouver", "西雅圖": "America/Los_Angeles", "夏威夷": "Pacific/Honolulu",
+    "莫斯科": "Europe/Moscow", "羅馬": "Europe/Rome", "馬德里": "Europe/Madrid", "日內瓦": "Europe/Zurich", "阿姆斯特丹": "Europe/Amsterdam",
+    "大阪": "Asia/Tokyo", "北京": "Asia/Shanghai", "上海": "Asia/Shanghai", "曼谷": "Asia/Bangkok", "河內": "Asia/Bangkok", "雅加達": "Asia/Jakarta",
+    "吉隆坡": "Asia/Kuala_Lumpur", "馬尼拉": "Asia/Manila", "新德里": "Asia/Kolkata", "杜拜": "Asia/Dubai", "墨爾本": "Australia/Melbourne", "奧克蘭": "Pacific/Auckland",
+}
+# Names that mean a zone only where 時間 follows.
+REGION_OF = {
+    "中原": HOME_ZONE, "國家": HOME_ZONE, "太平洋": "America/Los_Angeles", "美國東部": "America/New_York", "美國中部": "America/Chicago",
+    "美國山區": "America/Denver", "美國西部": "America/Los_Angeles", "美中": "America/Chicago", "歐洲東部": "Europe/Athens", "歐洲西部": "Europe/Lisbon",
+    "英國": "Europe/London", "法國": "Europe/Paris", "德國": "Europe/Berlin", "韓國": "Asia/Seoul", "泰國": "Asia/Bangkok", "印度": "Asia/Kolkata",
+    "中國": "Asia/Shanghai", "菲律賓": "Asia/Manila", "馬來西亞": "Asia/Kuala_Lumpur", "紐西蘭": "Pacific/Auckland", "澳洲東部": "Australia/Sydney",
+}
+ZONES = sorted(zoneinfo.available_timezones())
+# English names that mean a zone where "time" follows: the cities of the tz database and these.
+ENGLISH_OF = {z.rsplit("/", 1)[-1].replace("_", " "): z for z in ZONES if "/" in z} | {
+    "Greenwich Mean": "UTC", "Coordinated Universal": "UTC", "Universal": "UTC", "Eastern": "America/New_York", "Central": "America/Chicago",
+    "Mountain": "America/Denver", "Pacific": "America/Los_Angeles", "Central European": "Europe/Brussels", "Eastern European": "Europe/Athens",
+    "Taiwan": HOME_ZONE, "Local": HOME_ZONE, "Japan": "Asia/Tokyo", "Korea": "Asia/Seoul", "Hong Kong": "Asia/Hong_Kong", "Singapore": "Asia/Singapore",
+    "India": "Asia/Kolkata", "Washington": "America/New_York", "Geneva": "Europe/Zurich",
 }
 # English month names.
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
@@ -72,9 +103,14 @@ _TIME = re.compile(
     r" ?(?P<half2>[ap]\.?m\.?(?![a-z])|noon|midnight)?)?",
     re.I,
 )
+_NAMED = sorted((k for k in ZONE_OF if k[0] > "z"), key=lambda k: (-len(k), k))
+_KIND = "(?:當地|標準|标准|夏令|日光節約)"
 _ZONE = re.compile(
-    r" ?[(（]?(?:(?P<off>(?:UTC|GMT)? ?[+-]\d{1,2}(?::?\d{2})?)(?![\d:/.])|(?P<iana>[A-Z][A-Za-z]+/[A-Z][A-Za-z_]+)"
-    r"|(?P<abbr>[A-Z]{2,4}|Z)(?![A-Za-z])|(?P<city>" + "|".join(k for k in ZONE_OF if k[0] > "z") + r")(?:當地)?(?:時間|时间)?)"
+    r" ?[(（]?(?:(?P<off>(?:UTC|GMT)? ?[+-]\d{1,2}(?::?\d{2})?)(?![\d:/.])"
+    r"|(?P<iana>[A-Z][A-Za-z]+(?:/[A-Z][A-Za-z0-9_]*(?:[+-][A-Za-z0-9_]+)*)+)|(?P<abbr>[A-Z]{2,5}|Z)(?![A-Za-z])"
+    rf"|(?P<city>{'|'.join(_NAMED)}){_KIND}*(?:時間|时间)?|(?P<region>{'|'.join(REGION_OF)}){_KIND}*(?:時間|时间)"
+    rf"|(?P<other>[\u4e00-\u9fff]{{2,8}}?){_KIND}(?:時間|时间)"
+    r"|(?P<english>[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}?)(?: (?:[Ss]tandard|[Dd]aylight|[Ss]ummer|[Ll]ocal))? [Tt]ime(?![a-z]))"
 )
 _ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}\Z")
 _HHMM = re.compile(r"(?:[01]\d|2[0-3]):[0-5]\d\Z")
@@ -147,8 +183,16 @@ def read_time(s: str, at: int) -> tuple[int | None, int | None, str | None, str
             zone, end = z["iana"], z.end()
         elif z["city"]:
             zone, end = ZONE_OF[z["city"]], z.end()
+        elif z["region"]:
+            zone, end = REGION_OF[z["region"]], z.end()
+        elif z["other"]:
+            zone, end = next((v for k, v in {**ZONE_OF, **REGION_OF}.items() if k[0] > "z" and k in z["other"]), z["other"]), z.end()
+        elif z["english"]:
+            zone, end = ENGLISH_OF.get(z["english"], z["english"]), z.end()
         elif z["abbr"] in ZONE_OF:
             zone, abbr, end = ZONE_OF[z["abbr"]], z["abbr"], z.end()
+        elif z["abbr"] and (z["abbr"] in ZONES or z["abbr"][-1] == "T"):
+            zone, abbr, end = z["abbr"], z["abbr"], z.end()  # a zone without a known offset, not Taipei
     return secs, off, zone, abbr, end
 
 
@@ -284,31 +328,87 @@ def read_closing_of(day: Column | str, time: Column | str) -> Column:
     return _read_closing_of(day, time)
 
 
-def zone_intervals(zones: list[str], first_year: int = 1970, last_year: int = 2100) -> list[tuple]:
-    """``(zone, utc_from, utc_to, offset_s, abbr)`` of each zone, from the public tz database."""
-    from datetime import datetime, timezone
-    from zoneinfo import ZoneInfo
+#: Yearly rules are followed up to here. Any later year has its changes on the same days as one of the 28 before,
+#: which hold every weekday of New Year's Day with and without a leap day.
+RULES_END = 2129
+#: Before every change and after the last one of the table.
+OPEN_S = 10**12
+
+
+def _zone_file(name: str) -> bytes:
+    for root in zoneinfo.TZPATH:
+        if os.path.isfile(path := os.path.join(root, name)):
+            with open(path, "rb") as f:
+                return f.read()
+    from importlib.resources import files
+
+    return files("tzdata").joinpath("zoneinfo", name).read_bytes()
+
+
+def _listed_changes(raw: bytes) -> tuple[tuple[int, str], list[tuple[int, int, str]], str]:
+    """``(first state, changes as (instant, offset, abbreviation), yearly rule)`` of a file of the tz database (RFC 8536)."""
+    def counts(at: int) -> tuple:
+        return struct.unpack_from(">6l", raw, at + 20)
+
+    at, wide = 0, 4
+    if raw[4:5] >= b"2":
+        utc, std, leap, times, types, chars = counts(0)
+        at, wide = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc, 8
+    utc, std, leap, times, types, chars = counts(at)
+    at += 44
+    when = struct.unpack_from(f">{times}{'q' if wide == 8 else 'l'}", raw, at)
+    which = raw[at + times * wide :][:times]
+    at += times * (wide + 1)
+    kinds = [struct.unpack_from(">lBB", raw, at + 6 * i) for i in range(types)]
+    at += 6 * types
+    names = raw[at : at + chars]
+    states = [(off, names[i : names.index(b"\0", i)].decode()) for off, _, i in kinds]
+    at += chars + leap * (wide + 4) + std + utc
+    return states[0], [(t, *states[k]) for t, k in zip(when, which)], raw[at:].strip(b"\n").decode() if wide == 8 else ""
+
+
+def _ruled_changes(name: str, since: int, now: tuple[int, str]) -> list[tuple[int, int, str]]:
+    """Changes after ``since`` by the zone's yearly rule, whose halves of the year are far longer than the steps."""
+    z, rows = zoneinfo.ZoneInfo(name), []
+
+    def state(t: int) -> tuple[int, str]:
+        d = datetime.fromtimestamp(t, timezone.utc).astimezone(z)
+        return int(d.utcoffset().total_seconds()), d.tzname()
+
+    t, end = since, int(datetime(RULES_END, 2, 1, tzinfo=timezone.utc).timestamp())
+    while t < end:
+        nxt = t + 21 * 86400
+        if state(nxt) != now:
+            a, b = t, nxt
+            while b - a > 1:
+                mid = (a + b) // 2
+                a, b = (mid, b) if state(mid) == now else (a, mid)
+            now = state(b)
+            rows.append((b, *now))
+        t = nxt
+    return rows
+
+
+def zone_intervals(zones: list[str], first_year: int | None = None, last_year: int | None = None) -> list[tuple]:
+    """``(zone, utc_from, utc_to, offset_s, abbr)`` of each zone, from the public tz database.
 
-    step, rows = timedelta(days=7), []
+    Without years the first and the last interval are open (``OPEN_S``); of the yearly rules ``RULES_END`` is the end.
+    """
+    at = lambda y: int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp())
+    lo = -OPEN_S if first_year is None else at(first_year)
+    hi = OPEN_S if last_year is None else at(last_year)
+    rows, ruled = [], {}
     for name in zones:
-        z = ZoneInfo(name)
-
-        def state(t: int, z=z) -> tuple[int, str]:
-            d = datetime.fromtimestamp(t, timezone.utc).astimezone(z)
-            return int(d.utcoffset().total_seconds()), d.tzname()
-
-        lo = int(datetime(first_year, 1, 1, tzinfo=timezone.utc).timestamp())
-        end = int(datetime(last_year, 1, 1, tzinfo=timezone.utc).timestamp())
-        begin, t, now = lo, lo, state(lo)
-        while t < end:
-            nxt = min(t + int(step.total_seconds()), end)
-            if state(nxt) != now:
-                a, b = t, nxt
-                while b - a > 1:
-                    mid = (a + b) // 2
-                    a, b = (mid, b) if state(mid) == now else (a, mid)
-                rows.append((name, begin, b, *now))
-                begin, now = b, state(b)
-            t = nxt
-        rows.append((name, begin, end, *now))
+        now, changes, rule = _listed_changes(_zone_file(name))
+        if "," in rule:  # zones of one rule share its changes
+            since, last = (changes[-1][0], changes[-1][1:]) if changes else (at(1970), now)
+            if (rule, since) not in ruled:
+                ruled[rule, since] = _ruled_changes(name, since, last)
+            changes = changes + ruled[rule, since]
+        begin = -OPEN_S
+        for t, *state in [*changes, (OPEN_S, None, None)]:
+            if tuple(state) != now:
+                if max(begin, lo) < min(t, hi):
+                    rows.append((name, max(begin, lo), min(t, hi), *now))
+                begin, now = t, tuple(state)
     return rows
