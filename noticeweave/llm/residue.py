@@ -44,10 +44,18 @@ FILLER_WORDS = (
 )
 # Words by which a clause speaks of such things.
 SPOKEN_OF = r"請填「|以 XXX|填寫範例|請以申請單位|應處理|出現「|回報「|曾有|併案|全數刪除|始得送出|以紙本|視為通訊|須於|不影響"
+# Of these, the words of a clause about how a field is filled in, and what stands before a quoted one.
+FIELD_SPOKEN_OF = r"請填「|以 XXX|填寫範例|請以申請單位|出現「|回報「|全數刪除|始得送出"
+QUOTING = r"(?:請填|出現|回報)[「『][^」』]*\Z"
+# Forms that people write too, when they speak of a field; no one but a template writes the others.
+PLAIN_FIELDS = r"＿+|_+|○+|：?(?:NaN|undefined|null|None)"
 
 _BLANK = re.compile(BLANK_FIELDS)
 _BAD = re.compile(f"(?i:{ERROR_WORDS}|{FILLER_WORDS})")
 _SPOKEN = re.compile(SPOKEN_OF)
+_FIELD_SPOKEN = re.compile(FIELD_SPOKEN_OF)
+_QUOTING = re.compile(QUOTING)
+_PLAIN = re.compile(PLAIN_FIELDS)
 _CUT = re.compile(r"\n|(?<=[。！？；])|(?<=[.!?]) ")
 _DIGITS = re.compile("[0-9]+")
 
@@ -57,13 +65,22 @@ def clauses(text: str) -> list[str]:
     return [c for c in map(str.strip, _CUT.split(_DIGITS.sub("0", ordinary_text(text)))) if c]
 
 
+def unfilled(clause: str) -> bool:
+    """Whether a field is left unfilled. One that is quoted as an example is spoken of; so is a plain form, such as ○○○,
+    in a clause about filling in. A template's own form, such as {{...}}, is unfilled whatever else the clause says."""
+    spoken = _FIELD_SPOKEN.search(clause)
+    return any(
+        not (spoken and _PLAIN.fullmatch(m.group())) and not _QUOTING.search(clause[: m.start()]) for m in _BLANK.finditer(clause)
+    )
+
+
 def weak_label(clause: str) -> int | None:
     """A class by phrase and by page furniture; None where neither decides.
 
     A clause that names such phrases but has the words of an instruction is body text.
     """
     spoken = _SPOKEN.search(clause)
-    if not spoken and _BLANK.search(clause):
+    if unfilled(clause):
         return BLANK_FIELD
     if not spoken and _BAD.search(clause):
         return RESIDUE
@@ -230,8 +247,7 @@ def classes(model: Model, texts: list[str], first: np.ndarray) -> np.ndarray:
     maybe = np.nonzero(z[:, BLANK_FIELD] >= z.max(axis=1) - LIKELY)[0]
     z[:, BLANK_FIELD] = -np.inf
     for i in maybe:
-        real = _BLANK.search(texts[i]) and not _SPOKEN.search(texts[i])
-        guess[i] = BLANK_FIELD if real else z[i].argmax()
+        guess[i] = BLANK_FIELD if unfilled(texts[i]) else z[i].argmax()
     return guess
 
 
