@@ -162,20 +162,40 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-_NUMBER = re.compile(r"(\d+)")
+def _path_order(url: Column) -> Column:
+    """A text that sorts as the address does with its numbers taken as numbers: each has its length in front."""
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))
+    return F.array_join(F.transform(F.regexp_extract_all(url, F.lit(r"\d+|\D+"), 0), lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
-def _by_path(url: str) -> list:
-    return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in _NUMBER.split(url)]
+def _ranked(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``_r``, the place of each by path within its host and template, and no task that holds a template.
+
+    The pages are sorted over all tasks at once; a page's place is its place in its part plus the sizes of the parts before.
+    """
+    order = ["host", "template", "_path", "key"]
+    parts = pages.withColumn("_path", _path_order(F.col("url"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stored(parts.withColumn("_m", F.monotonically_increasing_id()).drop("url", "_path"))
+    part = F.shiftright("_m", 33)
+    before, so_far = {}, 0
+    for p, n in sorted((r["p"], r["n"]) for r in parts.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        before[p], so_far = so_far, so_far + n
+    begins = F.create_map(*[F.lit(x) for item in before.items() for x in item]) if before else F.create_map(F.lit(0), F.lit(0))
+    parts = parts.withColumn("_g", begins[part.cast("int")].cast("long") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+    first = parts.groupBy("host", "template").agg(F.min("_g").alias("_first"))
+    return parts.join(bounded_broadcast(first, 50_000), ["host", "template"]).withColumn("_r", F.col("_g") - F.col("_first")).drop("_g", "_first")
 
 
 def _difference(reach: int):
     def run(pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.iloc[sorted(range(len(pages)), key=lambda i: (_by_path(pages["url"].iat[i]), pages["key"].iat[i]))]
+        pages = pages.sort_values("_r")
         frames = [[x for x in f.tolist() if x] for f in pages["frames"]]
-        digest = pages["digest"].tolist()
+        digest, own = pages["digest"].tolist(), pages["_own"].tolist()
         found: Counter = Counter()
         for i, a in enumerate(frames):
+            if not own[i]:
+                break
             for j in range(i + 1, min(i + 1 + reach, len(frames))):
                 if digest[i] != digest[j]:  # a copy of the same page says nothing about the site
                     found.update(set(common_lines(a, frames[j])))
@@ -189,14 +209,16 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     """``(host, frame)``: frames that neighbouring pages of a host share; host ``*`` holds for every host.
 
     Pages are paired with the ``reach`` next ones by URL path, within the same host and path template; their frames
-    are aligned by longest common subsequence. A host of any size is cut into buckets of about ``bucket`` pages by
-    the URL's hash, so no task ever holds a host. A frame counts for its host if at least ``min_pairs`` alignments,
+    are aligned by longest common subsequence. A host of any size is cut into ranges of ``bucket`` pages in the order
+    of the path, each with the ``reach`` pages that follow, so no task ever holds a host and the cut changes no pair. A frame counts for its host if at least ``min_pairs`` alignments,
     and ``min_share`` of the host's, hold it. Of lines that speak of the site, which some pages have and their
     neighbours happen not to, a frame counts everywhere once alignments or pages of several hosts share it.
     """
     sizes = pages.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_n"))
-    cut = pages.select("host", "template", "url", "key", "frames", F.xxhash64("plain").alias("digest")).join(bounded_broadcast(sizes, 50_000), ["host", "template"])
-    cut = cut.withColumn("_b", F.pmod(F.xxhash64("url"), F.ceil(F.col("_n") / bucket)))
+    cut = _ranked(pages.select("host", "template", "url", "key", "frames", F.xxhash64("plain").alias("digest")))
+    at = F.floor(F.col("_r") / bucket)
+    # The first pages of a range also follow those of the ranges before that reach them.
+    cut = cut.withColumn("_b", F.explode(F.sequence(F.floor(F.greatest(F.col("_r") - reach, F.lit(0)) / bucket), at))).withColumn("_own", F.col("_b") == at)
     pairs = cut.groupBy("host", "template", "_b").applyInPandas(_difference(reach), "host string, frame long, n long")
     n_host = sizes.groupBy("host").agg((reach * F.sum("_n")).alias("_pairs"))
     found = pairs.groupBy("host", "frame").agg(F.sum("n").alias("n"))
