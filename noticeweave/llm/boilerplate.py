@@ -229,6 +229,12 @@ def shared_frames(pages: DataFrame, reach: int = 3, bucket: int = 200, min_pairs
     return own.select("host", "frame").unionByName(anywhere.select(F.lit("*").alias("host"), "frame"))
 
 
+def _follow_lists(codes: Column) -> Column:
+    """The items below a heading of the site, and a line between two lines of the site, are marked L, however far apart."""
+    codes = F.regexp_replace(codes, r"(h|(?!\A)\G)(b*)I", "$1$2L")
+    return F.regexp_replace(codes, r"(\A|[FhL])(b*)[SCWI](?=b*(?:[FhL]|\z))", "$1$2L")
+
+
 def marked_pages(
     df: DataFrame, key: str, url: str, text: str, agency: str, title: str, name: Column, keep: tuple = (), **limits: float
 ) -> DataFrame:
@@ -256,9 +262,7 @@ def marked_pages(
             c.isin("H", "S", "C", "I") & F.array_contains("_shared", F.get("frames", i)), F.when(c == "H", "h").otherwise("F")
         ).otherwise(c),
     )
-    codes = F.regexp_replace(F.array_join(seen, ""), r"(?<=h[Ib]{0,12})I", "L")
-    # A line between two lines of the site is one too.
-    codes = F.regexp_replace(codes, r"(?<=(?:^|[FhL])b{0,8})[SCWI](?=b{0,8}(?:[FhL]|\z))", "L")
+    codes = _follow_lists(F.array_join(seen, ""))
     return known.select("key", "plain", codes.alias("codes"), *keep)
 
 
