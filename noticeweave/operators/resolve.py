@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeweave.functions import text as T
+from noticeweave.session import checkpoint
 
 THRESHOLD = 0.72
 
@@ -55,3 +56,23 @@ def match_cascade(docs: DataFrame, known: DataFrame) -> DataFrame:
     by_no = hit(docs.where("doc_no <> ''").select("doc", "doc_no").join(known.select("id", "doc_no"), "doc_no"), 3)
     best = by_url.unionByName(by_key).unionByName(by_no).groupBy("doc").agg(F.min("m").alias("m"))
     return docs.select("doc").distinct().join(best, "doc", "left").select("doc", F.col("m.id").alias("match"), F.col("m.tier").alias("tier"))
+
+
+def match_similar(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc, id)``: each document's record of a related agency, the same year and batch, and the most similar name.
+
+    ``docs`` has ``doc, agency, year, name, batch``, ``known`` has ``id`` instead of ``doc``. A missing year (null or 0)
+    agrees with any; where one is null, the batch need not agree either. Ties go to the smaller id.
+    """
+    node = F.concat("agency", F.lit("|"), "name")
+    # Records that agree in all that counts are one; the smallest id stands for them.
+    known = known.where("agency <> '' and name <> ''").groupBy("agency", "name", "year", "batch").agg(F.min("id").alias("id"))
+    docs, known = checkpoint(docs.where("agency <> '' and name <> ''").withColumn("node", node)), checkpoint(known.withColumn("node", node))
+    names = lambda df: df.select("node", "agency", "name").distinct()
+    alike = similar_names(names(docs), names(known), threshold)
+    k = known.select(F.col("node").alias("b"), F.col("year").alias("k_year"), F.col("batch").alias("k_batch"), "id")
+    pairs = docs.withColumnRenamed("node", "a").join(alike, "a").join(k, "b")
+    none = F.col("year").isNull() | F.col("k_year").isNull()
+    same = (F.col("year") == F.col("k_year")) | (F.col("year") == 0) | (F.col("k_year") == 0)
+    pairs = pairs.where(none | (same & (F.col("batch") == F.col("k_batch"))))
+    return pairs.groupBy("doc").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("m")).select("doc", "m.id")

@@ -229,14 +229,27 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Visited pages against the catalogue, by address, by key of the title and by number."""
+    """Visited pages against the catalogue, by address, by key of the title, by number in the title and by similar name."""
     c = table(spark, d, "crawl_urls").where("url is not null and verdict = 'subsidy'")
-    docs = c.groupBy("url").agg(F.min("title").alias("title"), F.min("subsidy_id").alias("subsidy_id"))
-    docs = docs.select(F.col("url").alias("doc"), F.array("url").alias("urls"), T.normalize_name(F.col("title"), F.lit("")).alias("key"), F.lit("").alias("doc_no"))
+    docs = c.groupBy("url").agg(F.min("title").alias("title"), F.min("list_date").alias("list_date"), F.min("source_id").alias("source_id"))
+    agencies = table(spark, d, "sources_status").select("source_id", "agency")
+    said = F.try_to_number(F.nullif(F.regexp_extract(T.normalize_text(F.col("title")), r"(\d{2,3})\s*年度", 1), F.lit("")), F.lit("999")).cast("int") + 1911
+    year = F.coalesce(said, F.regexp_extract("list_date", r"^(\d{4})-", 1).try_cast("int"))
+    docs = docs.join(agencies, "source_id", "left").select(
+        F.col("url").alias("doc"), F.array("url").alias("urls"), T.normalize_name(F.col("title"), F.lit("")).alias("key"),
+        F.regexp_replace(F.regexp_extract(T.normalize_text(F.col("title")), r"\p{IsHan}{1,8}字第\s*\d+\s*號", 0), r"\s", "").alias("doc_no"),
+        "agency", year.alias("year"), T.batch_of(F.col("title")).alias("batch"),
+    )
+    docs = checkpoint(docs)
     s = table(spark, d, "subsidies")
     known = s.select("id", F.concat(F.array("official_url"), F.coalesce("source_urls", F.array().cast("array<string>"))).alias("urls"),
                      T.normalize_name(F.col("title"), F.lit("")).alias("key"), F.coalesce("doc_no", F.lit("")).alias("doc_no"))
-    return resolve.match_cascade(docs, known)
+    exact = checkpoint(resolve.match_cascade(docs.select("doc", "urls", "key", "doc_no"), known))
+    rest = docs.join(exact.where("match is null").select("doc"), "doc", "left_semi").select("doc", "agency", "year", F.col("key").alias("name"), "batch")
+    named = resolve.with_keys(s.select("id", "agency", "year", "title", "program_name")).select("id", "agency", "year", "name", "batch")
+    similar = resolve.match_similar(rest, named).withColumnRenamed("id", "_id")
+    tier = F.coalesce("tier", F.when(F.col("_id").isNotNull(), 4))
+    return exact.join(similar, "doc", "left").select("doc", F.coalesce("match", "_id").alias("match"), tier.alias("tier"))
 
 
 @query
