@@ -17,12 +17,21 @@ def marked_subsidies(subsidies: DataFrame, keep: tuple = ()) -> DataFrame:
     return boilerplate.marked_pages(subsidies, "id", "official_url", "content", "agency", "title", name, keep)
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def comparable_subsidies(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, year, batch, text)``: the notices' own text as P1 compares it."""
     marked = marked_subsidies(table(spark, d, "subsidies"), ("dedupe_key",))
     year, batch = near_duplicates.key_parts(F.col("dedupe_key"))
     text = near_duplicates.comparable_text("plain", "codes")
-    records = marked.select(F.col("key").alias("id"), year.alias("year"), batch.alias("batch"), text.alias("text"))
-    return near_duplicates.near_duplicate_pairs(records)
+    return marked.select(F.col("key").alias("id"), year.alias("year"), batch.alias("batch"), text.alias("text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(comparable_subsidies(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its group, the copies of its text and the number of other texts linked to it."""
+    return near_duplicates.near_duplicate_groups(comparable_subsidies(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
