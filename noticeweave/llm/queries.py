@@ -21,8 +21,7 @@ def comparable_subsidies(spark: SparkSession, d: str) -> DataFrame:
     """``(id, year, batch, text)``: the notices' own text as P1 compares it."""
     marked = marked_subsidies(table(spark, d, "subsidies"), ("dedupe_key",))
     year, batch = near_duplicates.key_parts(F.col("dedupe_key"))
-    text = near_duplicates.comparable_text("plain", "codes")
-    return marked.select(F.col("key").alias("id"), year.alias("year"), batch.alias("batch"), text.alias("text"))
+    return near_duplicates.comparable_texts(marked.withColumn("year", year).withColumn("batch", batch))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
