@@ -8,9 +8,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from noticeweave.session import checkpoint
+from noticeweave.session import bounded_broadcast, stored
 
 # Letters of other scripts that look like Latin ones.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԚԜҮаеһіјорсуѕхԁԛԝӏ", "ABESIJKMHOPCTYXQWYaehijopcysxdqwl"))
@@ -88,15 +88,16 @@ def _kana(m: re.Match) -> str:
     return "".join(map(KANA.get, m.group())) if _HAN.search(near) else m.group()
 
 
+_PLAINEST = str.maketrans(CYRILLIC | GREEK | KANA)
+
+
 def look_alike(text: str) -> str:
-    """Letters, digits, ideographs and spaces in another form replaced by the ordinary ones.
+    """Every letter, digit, ideograph and space replaced by the ordinary one that it looks like, whatever stands around it.
 
-    Invisible characters and combining accents stay here: a Unicode collation ignores the former and equates
-    composed and decomposed accents.
+    Two texts that look the same have the same form here, up to invisible characters and combining accents: these stay, as a
+    Unicode collation ignores the former and equates composed and decomposed accents.
     """
-    s = "".join(c if (t := TABLE.get(ord(c), c)) is None else t for c in text)
-    s = _ALONE.sub(_kana, s) if _ALONE.search(s) else s
-    return _WORD.sub(_word, s) if _FOREIGN.search(s) else s
+    return "".join(c if (t := TABLE.get(ord(c), c)) is None else t for c in text).translate(_PLAINEST)
 
 
 def ordinary_form(text: str) -> str:
@@ -115,9 +116,12 @@ def ordinary_text(text: str) -> str:
     return ordinary_form(text) if _SUSPECT.search(text) else text
 
 
-@F.pandas_udf(StringType())
-def _look_alike(texts: pd.Series) -> pd.Series:
-    return texts.map(look_alike, na_action="ignore").astype(object)
+_FORMS = StructType([StructField("mapped", StringType()), StructField("form", StringType())])
+
+
+@F.pandas_udf(_FORMS)
+def _forms(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"mapped": [look_alike(t) for t in texts], "form": [ordinary_form(t) for t in texts]}, dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -135,39 +139,55 @@ def ordinary(col: Column) -> Column:
     return F.coalesce(_ordinary(F.when(suspect(col), col)), col)
 
 
+#: The members of each class as they are written, and how often; the canonical one is what most records write.
+CHOOSE = """
+    WITH forms AS (SELECT mapped, form, count(*) AS n, min(odd) AS odd FROM {members} GROUP BY mapped, form)
+    SELECT mapped, min(struct(-n AS n, odd, length(form) AS size, form)).form AS canonical FROM forms GROUP BY mapped
+"""
+
+
 def canonical_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``(key, field, value, canonical)`` of each non-null field value with a suspect character.
 
-    Values are mapped to ordinary letters and grouped under the accent- and case-sensitive Unicode collation: such a
-    class holds texts that differ by invisible characters or by the composition of accents alone. Every class also
-    holds its cleaned text, and the canonical member is the one with the fewest code points, then the smallest
-    in binary order, which is that cleaned text whatever the partitioning. The class is joined back on
-    the collated text. Values without any suspect character are canonical already and don't enter, so only the
-    few suspect texts are shuffled. Empty texts and nulls give no row.
+    Every value is mapped to the plainest look-alikes and grouped under the accent- and case-sensitive Unicode collation:
+    such a class holds all values that look the same, ordinary ones included. A class's members are the ordinary values in
+    it as they are and its suspect values in their own ordinary form, as a class may have no ordinary value. The member
+    that most records have becomes the canonical one, of these an ordinary value first, then that with the fewest code
+    points, then the smallest in binary order; so where a text alone can't tell which of two look-alikes is meant, the others in its class do. It is
+    joined back on the collated text.
+
+    Ordinary values that no suspect value resembles are canonical already: a hash of the ideographs, on which all members of a
+    class agree, leaves them out before any text is shuffled. Empty texts and nulls give no row.
     """
     longer = df.select(
         F.col(key).alias("key"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("v"),
     ).select("key", "v.field", "v.value")
-    longer = longer.where(suspect(F.col("value")))
-    mapped = longer.select("*", F.collate(_look_alike("value"), "UNICODE").alias("mapped"))
-    mapped = mapped.withColumn("cleaned", _ordinary("value"))
-    mapped = checkpoint(mapped)  # read twice below; the scan and Python run once
-    member = lambda c: F.struct(F.length(c).alias("n"), c.alias("m"))
-    classes = mapped.groupBy("mapped").agg(
-        F.least(F.min(member(F.collate("mapped", "UTF8_BINARY"))), F.min(member(F.col("cleaned"))))["m"].alias("canonical")
-    )
-    return mapped.join(classes, "mapped").select("key", "field", "value", "canonical")
+    ideographs = lambda c: F.xxhash64(F.regexp_replace(c, r"[^\x{4e00}-\x{9fff}]+", ""))
+    odd = longer.where(suspect(F.col("value"))).select("*", _forms("value").alias("f"))
+    odd = odd.select("key", "field", "value", "f.mapped", "f.form")
+    odd = stored(odd.withColumn("h", ideographs(F.col("mapped"))))  # read three times; the scan and Python run once
+    plain = longer.where(F.col("value").isNotNull() & ~suspect(F.col("value"))).select("value", ideographs(F.col("value")).alias("h"))
+    plain = plain.join(bounded_broadcast(odd.select("h").distinct()), "h", "left_semi")
+    members = odd.select("mapped", "form", F.lit(1).alias("odd")).unionByName(plain.select(F.col("value").alias("mapped"), F.col("value").alias("form"), F.lit(0).alias("odd")))
+    members = members.withColumn("mapped", F.collate("mapped", "UNICODE"))
+    classes = df.sparkSession.sql(CHOOSE, members=members)
+    return odd.withColumn("mapped", F.collate("mapped", "UNICODE")).join(classes, "mapped").select("key", "field", "value", "canonical")
 
 
 def canonical_texts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``df`` with each of ``fields`` in its one ordinary form; nulls stay null, other columns as they are."""
-    found = canonical_values(df, key, fields)
+    """``df`` with each of ``fields`` in its one ordinary form; nulls stay null, other columns as they are.
+
+    The changed values of a key are joined back in one join, by the key; rows that repeat a key each get their own.
+    """
+    mark = lambda f, v: F.concat(F.lit(f + "|"), F.xxhash64(v).cast("string"), F.lit("|"), F.hash(v).cast("string"))
+    found = canonical_values(df, key, fields).where("canonical <> value")
+    tagged = F.concat(F.col("field"), F.lit("|"), F.xxhash64("value").cast("string"), F.lit("|"), F.hash("value").cast("string"))
+    one = found.select("key", tagged.alias("m"), "canonical").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("m", "canonical"))).alias("_new"))
+    df = df.join(one.withColumnRenamed("key", "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
     for f in fields:
-        one = found.where(F.col("field") == f).select(F.col("key").alias("_key"), F.col("value").alias("_value"), F.col("canonical").alias("_canonical")).distinct()
-        df = df.join(one, (F.col(key) == F.col("_key")) & (F.col(f) == F.col("_value")), "left")
-        df = df.withColumn(f, F.coalesce("_canonical", f)).drop("_key", "_value", "_canonical")
-    return df
+        df = df.withColumn(f, F.coalesce(F.element_at("_new", mark(f, F.col(f))), F.col(f)))
+    return df.drop("_key", "_new")
 
 
 def canonical_found(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
