@@ -1,4 +1,4 @@
-"""Titles that were cut off: a vocabulary trie of endings, combined with length evidence."""
+"""Titles that were cut off: a vocabulary trie, read backwards from every position, combined with length evidence."""
 
 from __future__ import annotations
 
@@ -6,53 +6,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeweave.llm.canonical import ordinary
-from noticeweave.session import checkpoint
+from noticeweave.session import bounded_broadcast, checkpoint, stored
 
-#: Depths of the trie that are looked up, deepest first.
-DEPTHS = (8, 6, 4, 3, 2)
+#: The shortest node that says anything, and the depth to which the trie is counted for all titles. Below it only nodes that
+#: speak for both sides are followed, to the whole title.
+LEAST, UPPER = 2, 8
 # Marks and broken characters that a cut leaves behind, entity fragments included.
 CUT_MARK = r"(?:\s*(?:…+|⋯+|\.{2,}|．{2,}|\x{fffd}+|&(?:[A-Za-z]{0,8}|#[0-9xX]{0,6});?))+\s*\z"
 
 
-def _tail(c: Column, k: int) -> Column:
+def _tail(c: Column, k: Column | int) -> Column:
     """The last ``k`` characters, fewer where there are fewer."""
-    n = F.length(c)
-    return F.substring(c, F.greatest(n - k + 1, F.lit(1)), F.lit(k))
+    n, k = F.length(c), F.lit(k) if isinstance(k, int) else k
+    return F.substring(c, F.greatest(n - k + 1, F.lit(1)), k)
+
+
+def _nodes(c: Column, least: int, most: Column | int) -> Column:
+    """Hashes of the endings of a text, from ``least`` characters to ``most``, the longest last."""
+    n = F.least(F.length(c), F.lit(most) if isinstance(most, int) else most)
+    return F.when(n >= least, F.transform(F.sequence(F.lit(least), n), lambda k: F.xxhash64(_tail(c, k)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _positions(bases: DataFrame) -> DataFrame:
+    """Every title up to each of its positions: ``(base, p, on, end)``, whether it goes on there or is an uncut end."""
+    n = F.length("base")
+    at = bases.where(n >= LEAST).select("base", "marked", F.explode(F.sequence(F.lit(LEAST), n)).alias("p"))
+    return at.select("base", "p", (F.col("p") < n).cast("long").alias("on"), ((F.col("p") == n) & ~F.col("marked")).cast("long").alias("end"))
+
+
+def _counted(paths: DataFrame, final: DataFrame) -> DataFrame:
+    return paths.join(final, "node", "left_semi").groupBy("node").agg(F.sum("end").alias("ended"), F.sum("on").alias("went_on"))
 
 
 def ending_trie(bases: DataFrame) -> DataFrame:
-    """Trie of the corpus vocabulary, read backwards from every position: ``(node, ended, went_on)``.
+    """Upper part of the trie of the corpus vocabulary, read backwards from every position: ``(node, ended, went_on)``.
 
-    A node is a sequence of up to eight characters. ``went_on`` counts the titles' positions where it is followed by
-    more text, so that it is a proper prefix of longer known words; ``ended`` counts the uncut titles that end
-    with it, so that it is itself a known ending. Only nodes that some title ends with are kept. Windows
-    are pre-aggregated before each shuffle; the second one has a row for each distinct window alone.
+    The titles have no word marks, so every sequence of characters counts as a word from wherever it begins; a node is the
+    hash of one of up to ``UPPER`` characters. ``went_on`` counts the titles' positions where it is followed by more
+    text, so that it is a proper prefix of longer known words; ``ended`` counts the uncut titles that end with it, so
+    that it is itself a known word. Only nodes that some title ends with are kept. Windows are pre-aggregated before
+    each shuffle; the second one has a row for each distinct window alone.
     """
-    depth = max(DEPTHS)
-    n = F.length("base")
-    at = bases.where(n >= min(DEPTHS)).select("base", "marked", F.explode(F.sequence(F.lit(min(DEPTHS)), n)).alias("p"))
-    windows = at.select(
-        F.substring("base", F.greatest(F.col("p") - depth + 1, F.lit(1)), F.least(F.col("p"), F.lit(depth))).alias("w"),
-        (F.col("p") < n).cast("long").alias("on"),
-        ((F.col("p") == n) & ~F.col("marked")).cast("long").alias("end"),
-    ).groupBy("w").agg(F.sum("on").alias("on"), F.sum("end").alias("end"))
-    nodes = lambda c: F.array_distinct(F.array(*[_tail(c, k) for k in DEPTHS]))
-    final = bases.select(F.explode(nodes(F.col("base"))).alias("node")).distinct()
-    paths = windows.select(F.explode(nodes(F.col("w"))).alias("node"), "on", "end")
-    return (
-        paths.join(final, "node", "left_semi")
-        .groupBy("node").agg(F.sum("end").alias("ended"), F.sum("on").alias("went_on"))
-    )
+    windows = _positions(bases).select(F.substring("base", F.greatest(F.col("p") - UPPER + 1, F.lit(1)), F.least(F.col("p"), F.lit(UPPER))).alias("w"), "on", "end")
+    windows = windows.groupBy("w").agg(F.sum("on").alias("on"), F.sum("end").alias("end"))
+    final = bases.select(F.explode(_nodes(F.col("base"), LEAST, UPPER)).alias("node")).distinct()
+    return _counted(windows.select(F.explode(_nodes(F.col("w"), LEAST, UPPER)).alias("node"), "on", "end"), final)
+
+
+def deeper_nodes(bases: DataFrame, both: DataFrame) -> DataFrame:
+    """The trie below ``UPPER``: ``(node, ended, went_on)`` of the endings of the titles in ``both`` (``base, node``).
+
+    Beneath a node that only ended or only went on all nodes do the same, so only nodes that did both are followed, from
+    the positions that hold them to the beginning of the title.
+    """
+    inside = _positions(bases).where(F.col("p") > UPPER).select("*", F.substring("base", F.lit(1), F.col("p")).alias("w"))
+    inside = inside.withColumn("node", F.xxhash64(_tail(F.col("w"), UPPER))).join(bounded_broadcast(both.select("node").distinct()), "node", "left_semi")
+    heads = inside.groupBy("w").agg(F.sum("on").alias("on"), F.sum("end").alias("end"))
+    final = both.select(F.explode(_nodes(F.col("base"), UPPER + 1, F.length("base"))).alias("node")).distinct()
+    return _counted(heads.select(F.explode(_nodes(F.col("w"), UPPER + 1, F.length("w"))).alias("node"), "on", "end"), final)
+
 
+def _deepest(bases: DataFrame, trie: DataFrame, least: int, most: Column | int, support: int) -> DataFrame:
+    """``(base, d, node, ended, went_on)``: each title's longest ending that was seen ``support`` times."""
+    looked = bases.select("base", F.posexplode(_nodes(F.col("base"), least, most)).alias("d", "node"))
+    best = looked.join(trie, "node").where(F.col("ended") + F.col("went_on") >= support)
+    best = best.groupBy("base").agg(F.max(F.struct((F.col("d") + least).alias("d"), "node", "ended", "went_on")).alias("s"))
+    return best.select("base", "s.*")
 
-def truncated_titles(titles: DataFrame, support: int = 8, known: float = 0.5) -> DataFrame:
+
+def truncated_titles(titles: DataFrame, support: int = 8, known: float = 0.5, known_at_limit: float = 0.6) -> DataFrame:
     """``(tab, rec_key, source, title, n_chars, marked, known_share, at_limit, truncated)`` per distinct record.
 
-    ``titles`` has ``tab, rec_key, source, title``. A title's final token is the deepest trie node at its end that
-    was seen at least ``support`` times. It is unknown if it ended less than ``known`` of those times, and then, as it
+    ``titles`` has ``tab, rec_key, source, title``. A title's final token is its longest ending, of any length, that was
+    seen at least ``support`` times. It is unknown if it ended less than ``known`` of those times, and then, as it
     went on the other times, a proper prefix of known words: the title is cut. A cut mark or broken character at the
-    end decides alone. Where no node has the support, length evidence decides: the title is as long as the most
-    frequent length among its source's titles found cut (``at_limit``).
+    end decides alone. Length is evidence where cut titles pile up (``at_limit``): where at least ``support`` titles of
+    the source that are this long, and half of them, end in an unknown token, ``known_at_limit`` takes the place of
+    ``known``, and a title without any token of enough support is cut as well.
 
     Null titles give no row, empty ones are not cut. Repeated rows count once.
     """
@@ -62,28 +92,24 @@ def truncated_titles(titles: DataFrame, support: int = 8, known: float = 0.5) ->
     df = df.withColumn("base", F.regexp_replace("plain", CUT_MARK, "")).withColumn("marked", F.col("base") != F.col("plain"))
     df = checkpoint(df.withColumn("base", F.rtrim("base")).drop("plain"))
     bases = df.groupBy("base").agg(F.min("marked").alias("marked"))
-    trie = ending_trie(bases)
-    looked = bases.select("base", F.posexplode(F.array(*[_tail(F.col("base"), k) for k in DEPTHS])).alias("d", "node"))
-    best = (
-        looked.join(trie, "node")
-        .where(F.col("ended") + F.col("went_on") >= support)
-        .groupBy("base")
-        .agg(F.min(F.struct("d", "ended", "went_on")).alias("s"))
-        .select("base", (F.col("s.ended") / (F.col("s.ended") + F.col("s.went_on"))).alias("known_share"))
-    )
+    upper = stored(_deepest(bases, ending_trie(bases), LEAST, UPPER, support))
+    both = upper.where((F.col("d") == UPPER) & (F.col("ended") > 0) & (F.col("went_on") > 0)).select("base", "node")
+    lower = _deepest(both, deeper_nodes(bases, both), UPPER + 1, F.length("base"), support)
+    share = F.col("ended") / (F.col("ended") + F.col("went_on"))
+    lower = lower.select(F.col("base").alias("_base"), share.alias("_share"))
+    best = upper.select("base", share.alias("share")).join(lower, F.col("base") == F.col("_base"), "left")
+    best = best.select("base", F.coalesce("_share", "share").alias("known_share"))
     df = df.join(best, "base", "left").withColumn("n_chars", F.length("title"))
-    unknown = F.col("marked") | F.coalesce(F.col("known_share") < known, F.lit(False))
-    df = df.withColumn("_cut", unknown)
-    limits = (
-        df.where("_cut").groupBy("source", "n_chars").count()
-        .groupBy("source").agg(F.max(F.struct("count", "n_chars")).alias("m"))
-        .select(F.col("source").alias("_source"), F.col("m.n_chars").alias("_limit"))
+    unknown = F.coalesce(F.col("known_share") < known, F.lit(False))
+    df = df.withColumn("_cut", F.col("marked") | unknown)
+    piled = df.groupBy("source", "n_chars").agg(F.sum(unknown.cast("long")).alias("_u"), F.count(F.lit(1)).alias("_n"))
+    piled = piled.where((F.col("_u") >= support) & (2 * F.col("_u") >= F.col("_n"))).select(F.col("source").alias("_source"), F.col("n_chars").alias("_n_chars"), F.lit(True).alias("_at"))
+    df = df.join(piled, F.col("source").eqNullSafe(F.col("_source")) & (F.col("n_chars") == F.col("_n_chars")), "left")
+    at_limit = F.coalesce("_at", F.lit(False))
+    long = at_limit & F.coalesce(F.col("known_share") < known_at_limit, F.length("base") >= LEAST)
+    return df.withColumn("at_limit", at_limit).withColumn("truncated", F.col("_cut") | long).select(
+        "tab", "rec_key", "source", "title", "n_chars", "marked", "known_share", "at_limit", "truncated"
     )
-    df = df.join(limits, F.col("source").eqNullSafe(F.col("_source")), "left")
-    at_limit = F.coalesce(F.col("n_chars") == F.col("_limit"), F.lit(False))
-    return df.withColumn("at_limit", at_limit).withColumn(
-        "truncated", F.col("_cut") | (F.col("known_share").isNull() & at_limit & (F.length("base") >= min(DEPTHS)))
-    ).select("tab", "rec_key", "source", "title", "n_chars", "marked", "known_share", "at_limit", "truncated")
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:
