@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from noticeweave.session import bounded_broadcast, checkpoint
 
-#: Buckets of a source's seeded order; the one in which the fractional repetition ends is ordered text by text.
-BUCKETS = 4096
+#: Most buckets of a source's seeded order, and the texts that make one more; the bucket in which the fractional repetition
+#: ends is gone through text by text.
+BUCKETS, PER_BUCKET = 4096, 1000
 
 
 def water_fill(targets: list[float], caps: list[float], total: float) -> list[float]:
@@ -66,20 +67,34 @@ def plan_mix(sizes: DataFrame, source: str, targets: DataFrame, total: int | Non
     return rows.groupBy().applyInPandas(_plan(total), shape)
 
 
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's last bucket, in seeded order, the texts that still fit."""
+    rows = rows.sort_values(["_order", "key"], kind="stable")
+    left, more = float(rows["_part"].iat[0] - rows["_before"].iat[0]), []
+    for n in rows["n_tokens"].tolist():
+        more.append(int(n <= left))
+        left -= n * more[-1]
+    return rows[["key", "source", "n_tokens", "_whole", "_part"]].assign(_more=pd.array(more, dtype="int64"))
+
+
 def draw_mix(sizes: DataFrame, key: str, source: str, targets: DataFrame, total: int | None = None, seed: int = 17) -> DataFrame:
     """``(key, source, n_tokens, repeats)`` of every chosen record.
 
     Each record is used as often as its source's whole epochs; the fraction goes to the first records of the source's
     seeded order, as far as their tokens fit into what is planned. That order's prefix is found from token sums of
-    hash buckets, and only the bucket in which it ends is ordered record by record, so no source is gathered in one task.
-    Records without a listed source, and empty texts, are not chosen unless whole epochs hold them.
+    hash buckets, and only the bucket in which it ends is gone through record by record: a text too long for what is left is
+    passed over for later ones that fit. A bucket has about a thousand texts, of a source with more than four million a
+    four-thousandth of them, so no source is gathered in one task. Records without a listed source, and empty texts, are
+    not chosen unless whole epochs hold them.
     """
     plan = checkpoint(plan_mix(sizes, source, targets, total)).where("epochs > 0")
     p = plan.select(F.col("source").alias("_s"), "epochs", "tokens_available", "max_repeats")
+    many = sizes.groupBy(F.col(source).alias("_s")).agg(F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / PER_BUCKET))).alias("_buckets"))
+    p = checkpoint(p.join(many, "_s"))
     rows = sizes.select(F.col(key).alias("key"), F.col(source).alias("source"), "n_tokens")
     rows = rows.join(bounded_broadcast(p, 10_000), F.col("source") == F.col("_s")).drop("_s")
     order = F.xxhash64(F.lit(seed), "key")
-    rows = rows.withColumn("_order", order).withColumn("_b", F.pmod(order, F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("_order", order).withColumn("_b", F.pmod(order, F.col("_buckets")).cast("int"))
     # A share of almost a whole epoch through rounding is one.
     rows = rows.withColumn("_whole", F.least(F.floor(F.col("epochs") + 1e-9), F.col("max_repeats")))
     rows = rows.withColumn("_part", F.when(F.col("_whole") < F.col("max_repeats"), (F.col("epochs") - F.col("_whole")) * F.col("tokens_available")).otherwise(0.0))
@@ -92,12 +107,12 @@ def draw_mix(sizes: DataFrame, key: str, source: str, targets: DataFrame, total:
     ends = ends.select("_s", F.coalesce("end._b", F.lit(-1)).alias("_at"), F.coalesce("end.before", F.lit(0)).alias("_before"))
     ends = checkpoint(ends)
     rows = rows.join(bounded_broadcast(ends, 10_000), F.col("source") == F.col("_s")).drop("_s")
-    at, before = F.col("_at"), F.col("_before")
-    last = rows.where(F.col("_b") == at)
-    w = Window.partitionBy("source").orderBy("_order", "key").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("_more", (before + F.sum("n_tokens").over(w) <= F.col("_part")).cast("long"))
-    rest = rows.where(F.col("_b") != at).withColumn("_more", ((at < 0) | (F.col("_b") < at)).cast("long"))
-    both = rest.unionByName(last).withColumn("_more", F.when(F.col("_part") > 0, F.col("_more")).otherwise(0))
+    at = F.col("_at")
+    kind = sizes.schema[key].dataType.simpleString()
+    last = rows.where((F.col("_b") == at) & (F.col("_part") > 0)).select("key", "source", "n_tokens", "_whole", "_part", "_order", "_before")
+    last = last.groupBy("source").applyInPandas(_fill, f"key {kind}, source string, n_tokens long, _whole long, _part double, _more long")
+    rest = rows.where((F.col("_b") != at) | (F.col("_part") <= 0)).withColumn("_more", ((F.col("_part") > 0) & ((at < 0) | (F.col("_b") < at))).cast("long"))
+    both = rest.select(*last.columns).unionByName(last)
     return both.withColumn("repeats", (F.col("_whole") + F.col("_more")).cast("int")).where("repeats > 0").select("key", "source", "n_tokens", "repeats")
 
 

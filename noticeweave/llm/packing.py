@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that one task packs; a container never mixes texts of two tasks, so less than one container a task is lost.
-SHARD = 20_000
+from noticeweave.session import stored
+
+#: Texts that one task packs, and how many tasks' last open containers are packed together again.
+SHARD, MERGED = 20_000, 64
 
 
 class _Stock:
@@ -92,6 +94,27 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return place
 
 
+_COLUMNS = ["budget_id", "capacity", "key", "part", "first_token", "n_tokens", "container", "shard", "open"]
+
+
+def _emptiest(place: np.ndarray, sizes: np.ndarray) -> int:
+    """The container with the most room; of several the last."""
+    held = np.bincount(place, weights=sizes) if len(place) else np.zeros(1)
+    return int(len(held) - 1 - np.argmin(held[::-1]))
+
+
+def _pack_again(level: int):
+    """The open containers of several shards, packed as one: all but the emptiest are closed."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "part"], kind="stable").reset_index(drop=True)
+        sizes, group = rows["n_tokens"].to_numpy(), int(rows["shard"].iat[0])
+        place = best_two_fit(sizes, int(rows["capacity"].iat[0]))
+        return rows.assign(container=[f"m{level}-{group}-{b}" for b in place], open=place == _emptiest(place, sizes))[_COLUMNS]
+
+    return run
+
+
 def _pack(budgets: list[tuple[int, int]]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
@@ -112,8 +135,9 @@ def _pack(budgets: list[tuple[int, int]]):
                 "first_token": np.concatenate([whole[part], nth]) * capacity,
                 "n_tokens": np.concatenate([rest[part], np.full(len(full), capacity)]),
                 "container": [f"{shard}-{b}" for b in np.concatenate([place, base + np.arange(len(full))])],
+                "shard": shard, "open": np.concatenate([place == _emptiest(place, rest[part]), np.zeros(len(full), dtype=bool)]),
             }))
-        return pd.concat(out) if out else pd.DataFrame(columns=["budget_id", "capacity", "key", "part", "first_token", "n_tokens", "container"])
+        return pd.concat(out) if out else pd.DataFrame(columns=_COLUMNS)
 
     return run
 
@@ -122,7 +146,9 @@ def pack(sizes: DataFrame, key: str, budgets: DataFrame, shard: int = SHARD) ->
     """``(budget_id, capacity, key, part, first_token, n_tokens, container)``: every text in containers, per budget.
 
     Texts are dealt to shards of about ``shard`` by a hash of their key, whatever their number, and each shard is packed
-    by best-two-fit for every capacity. Only texts larger than the capacity are split, into whole containers and a rest
+    by best-two-fit for every capacity. The emptiest container of each shard stays open: those of ``MERGED`` shards are packed
+    together, and so on until one is left, so the shards cost no containers and no task holds more than so many
+    containers. Only texts larger than the capacity are split, into whole containers and a rest
     that is packed like a text. Budgets without a positive capacity are left out; repeated keys are items of their own.
     The budgets, of which there must be at most 1,000, travel with the task.
     """
@@ -133,8 +159,19 @@ def pack(sizes: DataFrame, key: str, budgets: DataFrame, shard: int = SHARD) ->
     shards = max(1, -(-sizes.count() // shard))
     rows = sizes.select(F.col(key).alias("key"), "n_tokens").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     kind = sizes.schema[key].dataType.simpleString()
-    shape = f"budget_id int, capacity int, key {kind}, part int, first_token long, n_tokens long, container string"
-    return rows.groupBy("shard").applyInPandas(_pack(known), shape)
+    shape = f"budget_id int, capacity int, key {kind}, part int, first_token long, n_tokens long, container string, shard int, open boolean"
+    # A number given keeps adaptive execution from putting small shards into one task.
+    packed = rows.repartition(min(shards, 20_000), "shard").groupBy("shard").applyInPandas(_pack(known), shape)
+    closed, level = [], 0
+    while shards > 1:
+        level, shards = level + 1, -(-shards // MERGED)
+        packed = stored(packed)
+        closed.append(packed.where("not open"))
+        packed = packed.where("open").withColumn("shard", F.floor(F.col("shard") / MERGED).cast("int"))
+        packed = packed.groupBy("budget_id", "shard").applyInPandas(_pack_again(level), shape)
+    for part in closed:
+        packed = packed.unionByName(part)
+    return packed.drop("shard", "open")
 
 
 def container_report(packed: DataFrame) -> DataFrame:
