@@ -239,26 +239,35 @@ def _follow_lists(codes: Column) -> Column:
 BROADCAST_FRAMES = 200_000
 
 
-def _with_shared(pages: DataFrame, shared: DataFrame) -> DataFrame:
-    """``pages`` with ``_at``, the places of the lines whose frame ``shared`` has for the page's host or, for lines of code S,
-    for every host. Protected and blank lines have no frame."""
-    none, code = F.array().cast("array<bigint>"), lambda i: F.substring("codes", i + 1, 1)
+def _marked_codes(pages: DataFrame, shared: DataFrame) -> DataFrame:
+    """``pages`` with their codes as an array, F for a line whose frame ``shared`` has, h for such a heading.
+
+    It is looked up for the page's host and, for lines of code S, for every host. Protected and blank lines have no frame.
+    """
+    none, letters = F.array().cast("array<bigint>"), F.split("codes", "")
+    mark = lambda c: F.when(c == "H", "h").otherwise("F")
     if shared.limit(BROADCAST_FRAMES + 1).count() <= BROADCAST_FRAMES:
         every = shared.where("host = '*'").agg(F.collect_set("frame").alias("_every"))
         by_host = shared.where("host <> '*'").groupBy(F.col("host").alias("_host")).agg(F.collect_set("frame").alias("_shared"))
         pages = pages.join(F.broadcast(by_host), F.col("host") == F.col("_host"), "left").join(F.broadcast(every))
-        held = lambda i: (code(i).isin("H", "S", "C", "I") & F.array_contains(F.coalesce("_shared", none), F.get("frames", i))) | (
-            (code(i) == "S") & F.array_contains("_every", F.get("frames", i))
-        )
-        at = F.filter(F.sequence(F.lit(0), F.size("frames") - 1), lambda i: (F.get("frames", i) != 0) & held(i))
-        return pages.withColumn("_at", F.when(F.size("frames") > 0, at)).drop("_host", "_shared", "_every")
+        pages = pages.withColumn("_shared", F.coalesce("_shared", none))
+        seen = F.transform(
+            letters,
+            lambda c, i: F.when(c.isin("P", "b", "W"), c)
+            .when((c == "S") & F.array_contains("_every", F.get("frames", i)), "F")
+            .when(F.array_contains("_shared", F.get("frames", i)), mark(c)).otherwise(c),
+        )
+        return pages.withColumn("_codes", seen).drop("_host", "_shared", "_every")
     pages = pages.withColumn("_page", F.xxhash64("plain"))
     lines = pages.select("key", "_page", "host", "codes", F.posexplode("frames").alias("_i", "frame")).where("frame <> 0")
-    own = lines.where(code(F.col("_i")).isin("H", "S", "C", "I")).drop("codes")
-    anywhere = lines.where(code(F.col("_i")) == "S").drop("codes").withColumn("host", F.lit("*"))
+    code = F.substring("codes", F.col("_i") + 1, F.lit(1))
+    own = lines.where(code.isin("H", "S", "C", "I")).drop("codes")
+    anywhere = lines.where(code == "S").drop("codes").withColumn("host", F.lit("*"))
     hit = own.unionByName(anywhere).join(shared, ["host", "frame"], "left_semi")
     hit = hit.groupBy(F.col("key").alias("_key"), F.col("_page").alias("_p")).agg(F.collect_set("_i").alias("_at"))
-    return pages.join(hit, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_page") == F.col("_p")), "left").drop("_page", "_key", "_p")
+    pages = pages.join(hit, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_page") == F.col("_p")), "left")
+    found = F.coalesce("_at", F.array().cast("array<int>"))
+    return pages.withColumn("_codes", F.transform(letters, lambda c, i: F.when(F.array_contains(found, i), mark(c)).otherwise(c))).drop("_page", "_key", "_p", "_at")
 
 
 def marked_pages(
@@ -273,10 +282,8 @@ def marked_pages(
     """
     pages = stored(page_frames(df, key, url, text, agency, title, name, keep))
     shared = checkpoint(shared_frames(pages, **limits))
-    known = _with_shared(pages.select("key", "host", "plain", "frames", "codes", *keep), shared)
-    # h: a shared heading; F: a shared line that nothing protects; else the code stays.
-    seen = F.transform(F.split("codes", ""), lambda c, i: F.when(F.coalesce(F.array_contains("_at", i), F.lit(False)), F.when(c == "H", "h").otherwise("F")).otherwise(c))
-    codes = _follow_lists(F.array_join(seen, ""))
+    known = _marked_codes(pages.select("key", "host", "plain", "frames", "codes", *keep), shared)
+    codes = _follow_lists(F.array_join("_codes", ""))
     return known.select("key", "plain", codes.alias("codes"), *keep)
 
 

@@ -16,13 +16,16 @@ from noticeweave.llm.canonical import ordinary_text
 from noticeweave.session import checkpoint
 
 BODY, RESIDUE, BLANK_FIELD, AROUND = range(4)
-#: Hashed n-gram weights per class, then length buckets and the title mark.
-HASH_BITS, EXTRA = 16, 17
+#: Hashed n-grams, then length buckets, each for first clauses (titles) and for others.
+HASH_BITS, LENGTHS = 17, 16
 #: Documents that may be drawn for training, and clauses of each stratum that the classifier is fitted on.
 SAMPLE_DOCS, SAMPLE_CLAUSES = 20_000, 2_000
-
-#: By how much an unfilled field may be less likely (log odds) than the likeliest class and still be looked for.
-LIKELY = 9.0
+#: Clauses that occur so often in the drawn documents are always fitted on.
+FREQUENT = 50
+#: By how much (log odds) an unfilled field must be likelier than all else, as one such clause condemns a document.
+MARGIN = 2.0
+#: Clauses whose class a worker remembers.
+REMEMBERED = 200_000
 
 # Forms of fields that a template leaves unfilled.
 BLANK_FIELDS = (
@@ -93,60 +96,83 @@ def weak_label(clause: str) -> int | None:
     return None if code == "W" else BODY
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all clauses with marks around each, and where each begins."""
-    joined = "".join(f"\x02{t.lower()}\x03" for t in texts)
-    c = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    return c, np.nonzero(c == 2)[0]
+#: Kinds of signs: ideographs, small and capital letters count as one sign each; all others stand for themselves.
+_HAN, _SMALL, _LARGE = 1, 97, 65
+
+
+def _joined(texts: list[str]) -> np.ndarray:
+    """Code points of all clauses with marks around each."""
+    return np.frombuffer("".join(f"\x02{t}\x03" for t in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
 
+def _signs(c: np.ndarray) -> np.ndarray:
+    s = c.copy()
+    s[(c >= 0x3400) & (c <= 0x9FFF)] = _HAN
+    s[(c >= 97) & (c <= 122)] = _SMALL
+    s[(c >= 65) & (c <= 90)] = _LARGE
+    return s
 
-def _grams(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each order from 1 to 3: start positions and hashed indices of the n-grams inside a clause."""
-    out, inside = [], c != 3
-    h = c * np.uint64(0x9E3779B97F4A7C15)
-    ok = inside & (c != 2)
-    shift = np.uint64(64 - HASH_BITS)
-    at = np.nonzero(ok)[0]
-    out.append((at, (h[at] >> shift).astype(np.int64)))
-    for n in (2, 3):
+
+def _grams(c: np.ndarray, orders: tuple[int, ...], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each order: start positions and hashed indices of the n-grams inside a clause, its marks included."""
+    out, h, inside = [], (c + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15), c != 3
+    for n in range(1, max(orders) + 1):
         m = len(c) - n + 1
         if m <= 0:
             break
-        h = (h[:m] ^ (c[n - 1 :] + np.uint64(n * 0x51ED270B))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        ok = inside[:m].copy()
-        for i in range(1, n - 1):
-            ok &= inside[i : m + i]
-        at = np.nonzero(ok)[0]
-        out.append((at, (h[at] >> shift).astype(np.int64)))
+        if n > 1:
+            h = (h[:m] ^ (c[n - 1 :] + np.uint64(n * 0x51ED270B + seed))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        if n in orders:
+            ok = inside[:m].copy()
+            for i in range(1, n - 1):
+                ok &= inside[i : m + i]
+            at = np.nonzero(ok)[0]
+            out.append((at, (h[at] >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
     return out
 
 
-def _features(texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(clause of each feature, its index, scale of each clause, extra index)``."""
-    c, starts = _points(texts)
+def _features(texts: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(clause of each n-gram, its index, index of length and title)``.
+
+    N-grams are those of the letters, up to three, and of the kinds of signs, up to five, where runs of one kind of letter
+    count as one: the latter tell forms such as ``{{name}}`` whatever the field is called and however long the clause is.
+    """
+    c = _joined([t.lower() for t in texts])
+    starts = np.nonzero(c == 2)[0]
     owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(c))))
-    parts = _grams(c)
-    who = np.concatenate([owner[a] for a, _ in parts])
-    what = np.concatenate([i for _, i in parts])
-    n = np.bincount(who, minlength=len(texts))
-    length = np.minimum(np.log2(np.maximum(n / 3, 1)).astype(np.int64), EXTRA - 2)
-    return who, what, 1 / np.sqrt(np.maximum(n, 1)), np.where(first, EXTRA - 1, length)
+    who, what = [], []
+    for at, i in _grams(c, (1, 2, 3), 0):
+        who.append(owner[at])
+        what.append(i)
+    k = _joined(texts)
+    kinds = _signs(k)
+    letter = (kinds == _HAN) | (kinds == _SMALL) | (kinds == _LARGE)
+    kinds = kinds[np.append(True, ~(letter[1:] & (kinds[1:] == kinds[:-1])))]
+    owner = np.cumsum(kinds == 2) - 1
+    seen = np.append(0, np.cumsum(kinds > 3))
+    for n, (at, i) in zip((2, 3, 4, 5), _grams(kinds, (2, 3, 4, 5), 77)):
+        some = seen[at + n] > seen[at]  # ideographs alone are no form
+        who.append(owner[at[some]])
+        what.append(i[some])
+    n = np.array([len(t) for t in texts])
+    length = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LENGTHS - 1) + LENGTHS * np.asarray(first, dtype=np.int64)
+    return np.concatenate(who), np.concatenate(what), length
 
 
 @dataclass
 class Model:
-    """Weights by hashed feature and class."""
+    """Weights by hashed feature and class, and how much likelier than all others an unfilled field must be."""
 
     grams: np.ndarray
     extra: np.ndarray
+    margin: float = 0.0
 
     def scores(self, texts: list[str], first: np.ndarray) -> np.ndarray:
         if not texts:
             return np.zeros((0, 4), dtype=np.float32)
-        who, what, scale, extra = _features(texts, first)
-        z = np.stack([np.bincount(who, weights=self.grams[what, k], minlength=len(texts)) for k in range(4)], axis=1)
-        return z * scale[:, None] + self.extra[extra]
+        who, what, extra = _features(texts, first)
+        return np.stack([np.bincount(who, weights=self.grams[k][what], minlength=len(texts)) for k in range(4)], axis=1) + self.extra[extra]
 
 
 def stratum(clause: str, label: int) -> int:
@@ -154,37 +180,38 @@ def stratum(clause: str, label: int) -> int:
     return label * 4 + 2 * clause.isascii() + (clause[-1] in "。.！!；;")
 
 
-def fit(texts: list[str], first: np.ndarray, labels: np.ndarray, rounds: int = 120, l2: float = 1e-6, rate: float = 0.1) -> Model:
+def fit(texts: list[str], first: np.ndarray, labels: np.ndarray, many: np.ndarray | None = None, rounds: int = 200, l2: float = 1e-5, rate: float = 0.05) -> Model:
     """Multinomial logistic regression with an L2 penalty, fitted by Adam on all rows at once; deterministic.
 
     The strata count alike: else English sentences, of which most that differ have an unfilled field, would all
     seem to have one.
     """
-    grams, extra = np.zeros((1 << HASH_BITS, 4)), np.zeros((EXTRA, 4))
+    extra = np.zeros((2 * LENGTHS, 4))
     if not texts:
-        return Model(grams, extra)
-    who, what, scale, more = _features(texts, first)
+        return Model(np.zeros((4, 1 << HASH_BITS), dtype=np.float32), extra)
+    who, what, more = _features(texts, first)
     # Few distinct features occur in the sample: only they move.
     used, what = np.unique(what, return_inverse=True)
-    w, b = np.zeros((len(used), 4)), np.zeros((EXTRA, 4))
+    w, b = np.zeros((4, len(used))), np.zeros((2 * LENGTHS, 4))
     goal = np.eye(4)[labels]
     kind = np.array([stratum(t, k) for t, k in zip(texts, labels.tolist())])
-    weight = len(texts) / (np.bincount(kind)[kind] * len(np.unique(kind)))
-    m = [np.zeros_like(w), np.zeros_like(b)]
-    v = [np.zeros_like(w), np.zeros_like(b)]
+    weight = np.ones(len(texts)) if many is None else 1 + np.log(np.maximum(many, 1))
+    weight *= len(texts) / (np.bincount(kind, weights=weight)[kind] * len(np.unique(kind)))
+    m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for step in range(1, rounds + 1):
-        z = np.stack([np.bincount(who, weights=w[what, k], minlength=len(texts)) for k in range(4)], axis=1) * scale[:, None] + b[more]
+        z = np.stack([np.bincount(who, weights=w[k][what], minlength=len(texts)) for k in range(4)], axis=1) + b[more]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         d = (p - goal) * weight[:, None] / len(texts)
-        dw = np.stack([np.bincount(what, weights=(d[:, k] * scale)[who], minlength=len(used)) for k in range(4)], axis=1) + l2 * w
-        db = np.stack([np.bincount(more, weights=d[:, k], minlength=EXTRA) for k in range(4)], axis=1)
+        dw = np.stack([np.bincount(what, weights=d[who, k], minlength=len(used)) for k in range(4)]) + l2 * w
+        db = np.stack([np.bincount(more, weights=d[:, k], minlength=2 * LENGTHS) for k in range(4)], axis=1)
         for i, (x, g) in enumerate(((w, dw), (b, db))):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             x -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    grams[used] = w
-    return Model(grams.astype(np.float32), b)
+    grams = np.zeros((4, 1 << HASH_BITS), dtype=np.float32)
+    grams[:, used] = w
+    return Model(grams, b)
 
 
 def _host(df: DataFrame, url: str, source: str):
@@ -205,10 +232,10 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def labelled_clauses(df: DataFrame, key: str, text: str, url: str, source: str, docs: int = SAMPLE_DOCS, per_class: int = SAMPLE_CLAUSES) -> DataFrame:
-    """``(clause, first, label, unseen)``: weakly labelled distinct clauses of a bounded sample of documents.
+    """``(clause, first, label, unseen, n)``: weakly labelled distinct clauses of a bounded sample of documents, with their number.
 
     About ``docs`` documents are drawn by a hash of their key, and of each class, script and kind of clause at most about
-    ``per_class`` distinct clauses of the training hosts and as many of the unseen ones, by a hash of the clause. A fifth of the hosts, by hash, is unseen: none
+    ``per_class`` distinct clauses of the training hosts and as many of the unseen ones, by a hash of the clause, besides those that occur ``FREQUENT`` times. A fifth of the hosts, by hash, is unseen: none
     of their clauses is trained on.
     """
     rows = df.where(F.col(text).isNotNull())
@@ -216,14 +243,14 @@ def labelled_clauses(df: DataFrame, key: str, text: str, url: str, source: str,
     drawn = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0).select(_host(df, url, source).alias("host"), F.col(text).alias("text"))
     found = drawn.mapInArrow(_label_batches, "host string, clause string, first boolean, label int, stratum int")
     found = found.withColumn("unseen", F.pmod(F.xxhash64("host", F.lit(7)), F.lit(5)) == 0)
-    one = found.groupBy("clause", "label", "stratum", "first").agg(F.min("unseen").alias("unseen"))
+    one = found.groupBy("clause", "label", "stratum", "first").agg(F.min("unseen").alias("unseen"), F.count(F.lit(1)).alias("n"))
     one = checkpoint(one)
     counts = {(r["stratum"], r["unseen"]): r["count"] for r in one.groupBy("stratum", "unseen").count().collect()}
     keep = F.lit(False)
     for (kind, unseen), n in counts.items():
         spread = max(1, -(-n // per_class))
         keep = keep | ((F.col("stratum") == kind) & (F.col("unseen") == unseen) & (F.pmod(F.xxhash64("clause"), F.lit(spread)) == 0))
-    return one.where(keep)
+    return one.where(keep | (F.col("n") >= FREQUENT))
 
 
 def train(df: DataFrame, key: str, text: str, url: str, source: str) -> tuple[Model, list[tuple]]:
@@ -232,43 +259,37 @@ def train(df: DataFrame, key: str, text: str, url: str, source: str) -> tuple[Mo
     label, unseen, first = np.array(rows["label"], dtype=np.int64), np.array(rows["unseen"], dtype=bool), np.array(rows["first"], dtype=bool)
     texts = rows["clause"]
     pick = lambda mask: [t for t, m in zip(texts, mask) if m]
-    model = fit(pick(~unseen), first[~unseen], label[~unseen])
+    model = fit(pick(~unseen), first[~unseen], label[~unseen], np.array(rows["n"], dtype=float)[~unseen])
+    model.margin = MARGIN
     guess = classes(model, pick(unseen), first[unseen])
     true = label[unseen]
     return model, [(k, len(true), int(((guess == k) & (true == k)).sum()), int((guess == k).sum()), int((true == k).sum())) for k in range(4)]
 
 
 def classes(model: Model, texts: list[str], first: np.ndarray) -> np.ndarray:
-    """The likeliest class of each clause. Where an unfilled field is likely enough, an exact look for it decides."""
+    """The likeliest class of each clause; an unfilled field must be likelier than all others by the model's margin."""
     if not texts:
         return np.empty(0, dtype=np.int64)
     z = model.scores(texts, first)
-    guess = z.argmax(axis=1)
-    maybe = np.nonzero(z[:, BLANK_FIELD] >= z.max(axis=1) - LIKELY)[0]
-    z[:, BLANK_FIELD] = -np.inf
-    for i in maybe:
-        guess[i] = BLANK_FIELD if unfilled(texts[i]) else z[i].argmax()
-    return guess
+    z[:, BLANK_FIELD] -= model.margin
+    return z.argmax(axis=1)
 
 
 def _score(model):
+    known: dict[tuple[str, bool], int] = {}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for big in batches:
             for lo in range(0, big.num_rows, 400):
                 batch = big.slice(lo, 400)
-                texts, first, owner = [], [], []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    for j, c in enumerate(clauses(text)):
-                        texts.append(c)
-                        first.append(j == 0)
-                        owner.append(i)
-                guess = classes(m, texts, np.array(first, dtype=bool))
-                owner = np.array(owner, dtype=np.int64)
-                # Of the few documents with residue, furniture that looks like anything else is set aside.
-                for i in np.nonzero(np.isin(owner, owner[guess == RESIDUE]) & (guess != BLANK_FIELD))[0]:
-                    if not _BAD.search(texts[i]) and line_code(texts[i])[0] in "SH":
-                        guess[i] = AROUND
+                cut = [[(c, j == 0) for j, c in enumerate(clauses(text))] for text in batch.column("text").to_pylist()]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                new = list({c for doc in cut for c in doc if c not in known})
+                known.update(zip(new, classes(m, [c for c, _ in new], np.array([f for _, f in new], dtype=bool)).tolist()))
+                guess = np.array([known[c] for doc in cut for c in doc], dtype=np.int64)
+                owner = np.repeat(np.arange(len(cut)), [len(doc) for doc in cut])
                 n = [np.bincount(owner[guess == k], minlength=batch.num_rows) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column("key")] + [pa.array(x, pa.int32()) for x in n], ["key", "n_body", "n_residue", "n_blank", "n_around"])
 
@@ -278,7 +299,7 @@ def _score(model):
 def residue_documents(df: DataFrame, key: str, text: str, url: str, source: str, model: Model | None = None) -> DataFrame:
     """``(key, n_body, n_residue, n_blank, n_around, residue)`` of every document with text.
 
-    Each clause goes to its likeliest class: body text, residue (errors, notices about scripts, filler), a clause with
+    The classifier alone decides; patterns only label its training sample. Each clause goes to its likeliest class: body text, residue (errors, notices about scripts, filler), a clause with
     an unfilled field, or page furniture, which decides nothing. A document is residue if any clause has an unfilled
     field, or if it has more residue than body. Null texts give no row; an empty text has no clause and is no residue.
     """

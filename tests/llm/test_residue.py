@@ -45,3 +45,14 @@ def test_fit_is_deterministic():
     texts, labels = ["alpha beta", "gamma", "{{x}}", "delta。"] * 3, np.array([0, 3, 2, 0] * 3)
     a, b = (R.fit(texts, np.zeros(12, dtype=bool), labels) for _ in range(2))
     assert np.array_equal(a.grams, b.grams) and (a.scores(texts, np.zeros(12, dtype=bool)).argmax(axis=1) == labels).all()
+
+
+def test_fields_that_no_pattern_knows(spark):
+    """Forms cut off or written otherwise: the patterns that labelled the sample miss them, the classifier doesn't."""
+    unseen = ["請洽{{contact.name辦理。", "請洽{{ contact", "三、請洽contact.name}}辦理。"]
+    assert all(R.weak_label(c) == R.BODY for c in (unseen[0], unseen[2]))
+    df = documents(spark)
+    model, _ = R.train(df, "doc_id", "text", "url", "source")
+    assert (R.classes(model, unseen, np.zeros(3, dtype=bool)) == R.BLANK_FIELD).all()
+    plain = ["請洽承辦人辦理。", "二、審查由第0組辦理，逾期不受理。"]
+    assert (R.classes(model, plain, np.zeros(2, dtype=bool)) == R.BODY).all()
