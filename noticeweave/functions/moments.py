@@ -11,7 +11,7 @@ import os
 import re
 import struct
 import zoneinfo
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,6 +69,7 @@ REGION_OF = {
     "中國": "Asia/Shanghai", "菲律賓": "Asia/Manila", "馬來西亞": "Asia/Kuala_Lumpur", "紐西蘭": "Pacific/Auckland", "澳洲東部": "Australia/Sydney",
 }
 ZONES = sorted(zoneinfo.available_timezones())
+_KNOWN = frozenset(ZONES)
 # English names that mean a zone where "time" follows: the cities of the tz database and these.
 ENGLISH_OF = {z.rsplit("/", 1)[-1].replace("_", " "): z for z in ZONES if "/" in z} | {
     "Greenwich Mean": "UTC", "Coordinated Universal": "UTC", "Universal": "UTC", "Eastern": "America/New_York", "Central": "America/Chicago",
@@ -256,7 +257,20 @@ def closing(text: str | None) -> tuple | None:
     got = readings(text)
     if not got or got[-1][2] is None or (len(got) == 1 and got[0][3]):
         return None
-    return max((r for _, _, r, _ in got if r), key=lambda r: r[3] if r[3] is not None else r[0] - 28800)
+    return max((r for _, _, r, _ in got if r), key=_instant)
+
+
+def _instant(reading: tuple) -> int:
+    """The instant by which readings of one text are compared: with its offset, that of its zone then, or, of an unknown zone, none."""
+    local, zone, _, epoch = reading
+    if epoch is not None:
+        return epoch
+    if zone == HOME_ZONE:
+        return local - 28800
+    if zone not in _KNOWN:
+        return local
+    at = datetime(1970, 1, 1) + timedelta(seconds=min(max(local, -5 * 10**10), 2 * 10**11))
+    return local - int(at.replace(tzinfo=zoneinfo.ZoneInfo(zone)).utcoffset().total_seconds())
 
 
 def closing_of(day: str | None, time: str | None) -> tuple | None:

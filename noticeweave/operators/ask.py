@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from noticeweave.functions import text as T
+from noticeweave.session import numbered, stored
+
 # What people say and the words that notices use.
 SYNONYMS = (
     ("冰水主機|冰水機|冰機|空調主機|冷氣|空調|冷凍空調", "空調 冷卻 冰水 冷氣"),
@@ -47,19 +51,6 @@ def expanded(question: Column) -> Column:
     return F.concat_ws(" ", question, *more)
 
 
-def relevance_top(questions: DataFrame, notices: DataFrame, k: int = 6, least: int = 3) -> DataFrame:
-    """``(qid, id, score, rank)``: the ``k`` notices that share most bigrams with each question, at least ``least``.
-
-    ``questions`` has ``qid, question``, ``notices`` has ``id, text``. An inverted index joins both by bigram, counts are
-    combined before they are shuffled, and ties go to the smaller id.
-    """
-    q = questions.select("qid", F.explode(bigram_set(expanded(F.col("question")))).alias("g"))
-    n = notices.select("id", F.explode(bigram_set(F.col("text"))).alias("g"))
-    scores = q.join(n, "g").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= least)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _pair_codes(text: str) -> np.ndarray:
     """Distinct pairs of neighbouring code points as numbers."""
     c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -92,8 +83,10 @@ def _best_of_block(k: int, least: int):
     return run
 
 
-def relevance_top_whole(questions: DataFrame, notices: DataFrame, k: int = 6, least: int = 3, block: int = 4000) -> DataFrame:
-    """``relevance_top`` for questions of any length.
+def relevance_top(questions: DataFrame, notices: DataFrame, k: int = 6, least: int = 3, block: int = 4000) -> DataFrame:
+    """``(qid, id, score, rank)``: the ``k`` notices that share most bigrams with each question, at least ``least``.
+
+    ``questions`` has ``qid, question``, ``notices`` has ``id, text``, both of any length; ties go to the smaller id.
 
     A whole text shares some pair with nearly every notice, so joined pairs would be as many as questions times
     notices times common pairs. Instead blocks of at most about ``block`` questions and notices meet, each pair of
@@ -136,21 +129,82 @@ def hold_to_urls(text: Column, allowed: Column) -> Column:
     return F.trim(F.array_join(F.transform(pieces, one), ""))
 
 
-def numbers(c: Column) -> Column:
-    """Distinct numbers of a text in digits, thousands separators dropped."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"(\d),(?=\d{3})", "$1"), F.lit(r"\d+(?:\.\d+)?"), 0))
+# Chinese digits and units of numbers below ten thousand.
+HAN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+HAN_UNITS = {"十": 10, "百": 100, "千": 1000}
+_HAN = "[" + "".join(HAN_DIGITS) + "".join(HAN_UNITS) + "]+"
+
+
+def han_int(s: str) -> int | None:
+    """A Chinese number below ten thousand; digits without a unit count as the last one, other signs give None."""
+    total, digit = 0, None
+    for c in s:
+        if c in HAN_DIGITS:
+            digit = HAN_DIGITS[c]
+        elif c in HAN_UNITS:
+            total, digit = total + (1 if digit is None else digit) * HAN_UNITS[c], None
+        else:
+            return None
+    return total + (digit or 0)
 
 
-def numbers_from(field: Column, source: Column) -> Column:
-    """Whether every number of ``field`` stands in ``source`` too."""
-    return F.size(F.array_except(numbers(field), numbers(source))) == 0
+def plain_numbers(text: str) -> str:
+    """A text with its Chinese numbers in digits: parts of a hundred as percent, fractions as a/b, no thousands separators."""
+    text = re.sub(f"百分之({_HAN})", lambda m: f"{han_int(m[1])}%", text)
+    text = re.sub(f"({_HAN})分之({_HAN})", lambda m: f"{han_int(m[2])}/{han_int(m[1])}", text)
+    return re.sub(r"(\d),(?=\d{3})", r"\1", re.sub(_HAN, lambda m: str(han_int(m[0])), text))
 
 
-def context_lines(notices: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """``(group, context)``: the known fields of each notice on one line, the lines in order."""
+@F.pandas_udf(StringType())
+def _plain_numbers(texts: pd.Series) -> pd.Series:
+    return texts.map(plain_numbers, na_action="ignore").astype(object)
+
+
+def numbers(c: Column, han: bool = False) -> Column:
+    """Distinct numbers of a text in digits, thousands separators dropped; with ``han`` Chinese numbers and fractions too.
+
+    Only texts that hold a Chinese numeral travel to Python.
+    """
+    text = F.coalesce(c, F.lit(""))
+    if han:
+        text = T.normalize_text(text)
+        text = F.coalesce(_plain_numbers(F.when(text.rlike(_HAN), text)), text)
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"(\d),(?=\d{3})", "$1"), F.lit(r"\d+(?:\.\d+)?"), 0))
+
+
+def numbers_from(field: Column, source: Column, han: bool = False) -> Column:
+    """Whether every number of ``field`` stands in ``source`` too, there as it is or, with ``han``, with the same value."""
+    mine, there = numbers(field, han), numbers(source, han)
+    if han:
+        there = F.array_union(there, F.transform(there, lambda n: F.regexp_replace(F.regexp_replace(n, r"^0+(?=\d)", ""), r"(\.\d*?)0+\z|\.\z", "$1")))
+        there = F.transform(there, lambda n: F.regexp_replace(n, r"\.\z", ""))
+    return F.size(F.array_except(mine, there)) == 0
+
+
+#: Rows of a chunk of context; more than one task ever joins.
+CHUNK = 2_000
+
+
+def context_lines(notices: DataFrame, group: str, order: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """``(group, chunk, context)``: the known fields of each notice on one line, the lines in order.
+
+    A group's rows are numbered over all tasks by ranges of the order and written ``chunk`` to a text, so that a group of
+    any size never comes into one row; chunks count from 0.
+    """
     line = F.concat_ws(" | ", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns])
-    rows = notices.select(group, F.struct(F.col(order).alias("o"), line.alias("l")).alias("s"))
-    return rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), "\n").alias("context"))
+    rows = stored(numbered(notices.select(group, F.col(order).alias("o"), line.alias("l")), [group], ["o", "l"]))
+    rows = rows.select(group, F.floor(F.col("n") / chunk).cast("int").alias("chunk"), F.struct("n", "l").alias("s"))
+    return rows.groupBy(group, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), "\n").alias("context"))
+
+
+def reranked(notices: DataFrame, scores: DataFrame, rank: str = "rank", cap: int = 80) -> DataFrame:
+    """``notices`` with ``place`` from 1: those in ``scores`` (``id, score``) first, best first, then the others as ranked; the first ``cap``."""
+    s = scores.groupBy(F.col("id").alias("_id")).agg(F.max("score").alias("_score"))
+    rows = notices.join(s, F.col("id") == F.col("_id"), "left")
+    keys = [F.col("_score").isNull(), F.col("_score").desc(), F.col(rank), F.col("id")]
+    top = rows.orderBy(*keys).limit(cap)
+    # At most ``cap`` rows are numbered.
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*keys))).drop("_id", "_score")
 
 
 def client_ids(secret: str):

@@ -44,18 +44,34 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
 
 
 def match_cascade(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``(doc, match, tier)``: each document's record by URL (1), by key (2) or by document number (3).
+    """``(doc, match, tier)``: each document's record by programme (0), URL (1), key (2) or document number (3).
 
-    ``docs`` has ``doc, urls, key, doc_no``, ``known`` has ``id, urls, key, doc_no``. Every tier is an equi-join; the lowest
-    tier counts, and in it the smallest id. Documents without a match are kept with nulls.
+    ``docs`` has ``doc, urls, key, doc_no``, ``known`` has ``id, urls, key, doc_no``; the first of ``urls`` is the official one. A
+    key that begins with ``program:`` is a pinned programme: only it matches by tier 0, other documents reach it by its official
+    address alone. One join over tagged keys serves all tiers; empty and null keys match nothing. The lowest tier
+    counts, and in it the smallest id. Documents without a match are kept with nulls.
     """
-    urls = lambda df, c: df.select(c, F.explode(F.array_distinct("urls")).alias("u")).where("u is not null and u <> ''")
-    hit = lambda j, tier: j.select("doc", F.struct(F.lit(tier).alias("tier"), F.col("id").alias("id")).alias("m"))
-    by_url = hit(urls(docs, "doc").join(urls(known, "id"), "u"), 1)
-    by_key = hit(docs.select("doc", "key").join(known.select("id", "key"), "key"), 2)
-    by_no = hit(docs.where("doc_no <> ''").select("doc", "doc_no").join(known.select("id", "doc_no"), "doc_no"), 3)
-    best = by_url.unionByName(by_key).unionByName(by_no).groupBy("doc").agg(F.min("m").alias("m"))
-    return docs.select("doc").distinct().join(best, "doc", "left").select("doc", F.col("m.id").alias("match"), F.col("m.tier").alias("tier"))
+    pinned = F.coalesce(F.col("key").startswith("program:"), F.lit(False))
+    no_urls = F.array().cast("array<string>")
+
+    def keys(df: DataFrame, c: str, mine: bool) -> DataFrame:
+        urls = F.array_distinct(F.array_compact(F.coalesce("urls", no_urls)))
+        own = F.get(F.coalesce("urls", no_urls), F.lit(0))
+        tag = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.struct(F.lit(name).alias("t"), v.alias("k")))
+        shared = F.transform(urls, lambda u: tag("url", u))
+        if mine:  # an ordinary page asks for programmes by its official address
+            ordinary = F.concat(shared, F.array(tag("official", own), tag("key", F.col("key")), tag("no", F.col("doc_no"))))
+            programme = F.concat(F.array(tag("programme", F.col("key"))), F.array(tag("url", own), tag("official", own), tag("any", own)))
+        else:
+            ordinary = F.concat(shared, F.array(tag("key", F.col("key")), tag("no", F.col("doc_no"))))
+            programme = F.concat(F.array(tag("programme", F.col("key")), tag("official", own)), F.transform(urls, lambda u: tag("any", u)))
+        return df.select(c, F.explode(F.array_compact(F.when(pinned, programme).otherwise(ordinary))).alias("x")).select(c, "x.t", "x.k")
+
+    tiers = {"programme": 0, "url": 1, "official": 1, "any": 1, "key": 2, "no": 3}
+    tier = F.element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), F.col("t"))
+    smallest = keys(known, "id", False).groupBy("t", "k").agg(F.min("id").alias("id"))
+    hits = keys(docs, "doc", True).distinct().join(smallest, ["t", "k"]).groupBy("doc").agg(F.min(F.struct(tier.alias("tier"), "id")).alias("m"))
+    return docs.select("doc").distinct().join(hits, "doc", "left").select("doc", F.col("m.id").alias("match"), F.col("m.tier").alias("tier"))
 
 
 def match_similar(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

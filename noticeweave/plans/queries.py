@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # A robots file for the queries; hosts of the test tables.
 ROBOTS = "User-agent: *\nDisallow: /sub/\nAllow: /sub/8/\nDisallow: /*?n=6\nDisallow: /view.do$\n"
 EXCLUDED = [r"名單$", r"懶人包", r"招標"]
-RULES = [("溫室|農", {"delegate": "農業專區"}), ("空調", {"delegate": "空調專區", "target": "設備使用者"})]
+RULES = [("溫室|農", {"delegate": "農業專區"}), ("空調", {"delegate": "空調專區", "target": "設備使用者", "amount_text": "依公告", "amount_year": 2026})]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,11 +84,12 @@ def exclusion_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def override_layers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "subsidies").select("id", "title", "official_url", "delegate", "target", "doc_no")
+    rows = table(spark, d, "subsidies").select("id", "title", "year", "official_url", "source_urls", "delegate", "target", "doc_no", "amount_text")
     # Exact overrides as data: pages that turned out not to be notices lose their number and say so.
     wrong = table(spark, d, "crawl_urls").where("verdict = 'not' and url is not null").select(F.col("url").alias("target")).distinct()
     exact = wrong.withColumn("set", F.create_map(F.lit("doc_no"), F.lit(None).cast("string"), F.lit("delegate"), F.lit("none")))
-    return catalog.layered(rows, exact, RULES, ["delegate", "target", "doc_no"]).select("id", "delegate", "target", "doc_no", "manual")
+    out = catalog.layered(rows, exact, RULES, ["delegate", "target", "doc_no", "amount_text"], ("amount_text",))
+    return out.select("id", "delegate", "target", "doc_no", "amount_text", "manual")
 
 
 @query
@@ -118,7 +119,7 @@ def first_seen_urls(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "crawl_urls").select("url", "verdict", "content_hash", "subsidy_id", "first_seen_at", "last_checked_at", "fail_count")
     cut = F.lit("2026-01-01 00:00:00+00:00").cast("timestamp")
-    old = merge.first_wins(rows.where(F.col("last_checked_at") < cut), "url", ["last_checked_at", "verdict", "content_hash", "fail_count"])
+    old = merge.last_wins(rows.where(F.col("last_checked_at") < cut), "url", ["last_checked_at", "verdict", "content_hash", "fail_count", "subsidy_id", "first_seen_at"])
     new = rows.where(F.col("last_checked_at") >= cut)
     out = merge.upsert(old, new, "url", "last_checked_at", ["first_seen_at"], ["subsidy_id"])
     return out.select("url", "subsidy_id", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_checked_at").alias("last_us"))
@@ -163,7 +164,7 @@ def log_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def crawl_worklist(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "crawl_urls").select("url", "verdict", "list_date", "fail_count", "last_checked_at").where("url is not null")
-    state = merge.first_wins(rows, "url", ["last_checked_at", "verdict", "fail_count", "list_date"])
+    state = merge.last_wins(rows, "url", ["last_checked_at", "verdict", "fail_count", "list_date"])
     return crawl.work_list(state, NOW).select("url", "priority")
 
 
@@ -175,7 +176,7 @@ def source_health(spark: SparkSession, d: str) -> DataFrame:
 @query
 def unlisted_pages(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "crawl_urls").where("list_date is not null").select("url")
-    return crawl.unseen_known(table(spark, d, "subsidies"), listed, table(spark, d, "sources_status"))
+    return crawl.unseen_known(table(spark, d, "subsidies"), listed, table(spark, d, "sources_status"), YEAR)
 
 
 @query
@@ -205,18 +206,10 @@ def daily_quota(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def relevance_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Questions: the first lines of every twentieth document; against all notices' titles and summaries."""
-    q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), F.left(F.split("text", "\n", 2)[0], F.lit(60)).alias("question"))
-    n = table(spark, d, "subsidies").select("id", F.concat_ws(" ", "title", "summary", "target").alias("text"))
-    return ask.relevance_top(q, n)
-
-
-@query
-def relevance_whole(spark: SparkSession, d: str) -> DataFrame:
     """Questions: the whole text of every twentieth document; against all that a notice says of itself, kinds of targets and amounts included."""
     q = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
     n = table(spark, d, "subsidies").select("id", F.concat_ws(" ", "title", "summary", "target", "target_types", "amount_details").alias("text"))
-    return ask.relevance_top_whole(q, n)
+    return ask.relevance_top(q, n)
 
 
 @query
@@ -229,29 +222,42 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Visited pages against the catalogue, by address, by key of the title, by number in the title and by similar name."""
+    """Visited pages against the catalogue, by address, by key, by number in the title and by similar name.
+
+    A key is agency, year, name and batch; pages whose title has no name have none.
+    """
     c = table(spark, d, "crawl_urls").where("url is not null and verdict = 'subsidy'")
     docs = c.groupBy("url").agg(F.min("title").alias("title"), F.min("list_date").alias("list_date"), F.min("source_id").alias("source_id"))
     agencies = table(spark, d, "sources_status").select("source_id", "agency")
-    said = F.try_to_number(F.nullif(F.regexp_extract(T.normalize_text(F.col("title")), r"(\d{2,3})\s*年度", 1), F.lit("")), F.lit("999")).cast("int") + 1911
-    year = F.coalesce(said, F.regexp_extract("list_date", r"^(\d{4})-", 1).try_cast("int"))
-    docs = docs.join(agencies, "source_id", "left").select(
-        F.col("url").alias("doc"), F.array("url").alias("urls"), T.normalize_name(F.col("title"), F.lit("")).alias("key"),
-        F.regexp_replace(F.regexp_extract(T.normalize_text(F.col("title")), r"\p{IsHan}{1,8}字第\s*\d+\s*號", 0), r"\s", "").alias("doc_no"),
-        "agency", year.alias("year"), T.batch_of(F.col("title")).alias("batch"),
+    year = crawl.document_year(F.lit(None).cast("string"), F.col("list_date"), F.lit(None).cast("int"), F.col("title"))
+    no = F.regexp_replace(F.regexp_extract(T.normalize_text(F.col("title")), r"\p{IsHan}{1,8}字第\s*\d+\s*號", 0), r"\s", "")
+    docs = docs.join(agencies, "source_id", "left").select(F.col("url").alias("doc"), "agency", year.alias("year"), "title", F.lit(None).cast("string").alias("program_name"), no.alias("doc_no"))
+    docs = checkpoint(resolve.with_keys(docs))
+    s = table(spark, d, "subsidies").select("id", "agency", "year", "title", "program_name", "official_url", "source_urls", "doc_no")
+    known = resolve.with_keys(s)
+    named = lambda df: F.when(F.col("name") != "", F.col("key"))
+    exact = resolve.match_cascade(
+        docs.select("doc", F.array("doc").alias("urls"), named(docs).alias("key"), "doc_no"),
+        known.select("id", F.concat(F.array("official_url"), F.coalesce("source_urls", F.array().cast("array<string>"))).alias("urls"), named(known).alias("key"), "doc_no"),
     )
-    docs = checkpoint(docs)
-    s = table(spark, d, "subsidies")
-    known = s.select("id", F.concat(F.array("official_url"), F.coalesce("source_urls", F.array().cast("array<string>"))).alias("urls"),
-                     T.normalize_name(F.col("title"), F.lit("")).alias("key"), F.coalesce("doc_no", F.lit("")).alias("doc_no"))
-    exact = checkpoint(resolve.match_cascade(docs.select("doc", "urls", "key", "doc_no"), known))
-    rest = docs.join(exact.where("match is null").select("doc"), "doc", "left_semi").select("doc", "agency", "year", F.col("key").alias("name"), "batch")
-    named = resolve.with_keys(s.select("id", "agency", "year", "title", "program_name")).select("id", "agency", "year", "name", "batch")
-    similar = resolve.match_similar(rest, named).withColumnRenamed("id", "_id")
+    exact = checkpoint(exact)
+    rest = docs.join(exact.where("match is null").select("doc"), "doc", "left_semi").select("doc", "agency", "year", "name", "batch")
+    similar = resolve.match_similar(rest, known.select("id", "agency", "year", "name", "batch")).withColumnRenamed("id", "_id")
     tier = F.coalesce("tier", F.when(F.col("_id").isNotNull(), 4))
     return exact.join(similar, "doc", "left").select("doc", F.coalesce("match", "_id").alias("match"), tier.alias("tier"))
 
 
+@query
+def match_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Visited pages against the catalogue by address, by normalised title and by document number, without the similarity tier."""
+    c = table(spark, d, "crawl_urls").where("url is not null and verdict = 'subsidy'").groupBy("url").agg(F.min("title").alias("title"))
+    name = lambda: F.nullif(T.normalize_name(F.col("title"), F.lit("")), F.lit(""))
+    docs = c.select(F.col("url").alias("doc"), F.array(F.concat("url", F.lit("#again"))).alias("urls"), name().alias("key"), F.lit("").alias("doc_no"))
+    s = table(spark, d, "subsidies")
+    known = s.select("id", F.array(F.when(F.col("year") == YEAR, F.concat("official_url", F.lit("#again")))).alias("urls"), name().alias("key"), "doc_no")
+    return resolve.match_cascade(docs, known)
+
+
 @query
 def number_provenance(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "subsidies").where("summary is not null and content is not null")
@@ -271,6 +277,194 @@ def agency_context(spark: SparkSession, d: str) -> DataFrame:
     return ask.context_lines(rows, "agency", "id", ["title", "year", "apply_end"])
 
 
+@query
+def numbers_supported(spark: SparkSession, d: str) -> DataFrame:
+    """Like ``number_provenance``, with Chinese numbers, percents and fractions read as numbers on both sides."""
+    rows = table(spark, d, "subsidies").where("summary is not null and content is not null")
+    return rows.select("id", ask.numbers_from(F.col("summary"), F.col("content"), han=True).alias("supported"))
+
+
+@query
+def reranked_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first eighty notices for one question: what it finds first, then the catalogue in its order."""
+    q = table(spark, d, "documents").where("text is not null").groupBy().agg(F.min(F.struct("doc_id", "text")).alias("m")).select(F.col("m.doc_id").alias("qid"), F.col("m.text").alias("question"))
+    rows = table(spark, d, "subsidies").select("id", "title", "summary", "target", "target_types", "amount_details", "announce_date", "apply_start", "apply_end", "apply_end_time", "status_flag")
+    n = rows.select("id", F.concat_ws(" ", "title", "summary", "target", "target_types", "amount_details").alias("text"))
+    ordered = catalog.lifecycle_top(rows, NOW_S, 86).select("id", "rank")
+    hits = ask.relevance_top(q, n)
+    # Six hits at most can come from below the first eighty.
+    both = ordered.select("id", "rank").unionByName(hits.join(ordered, "id", "left_anti").select("id", F.lit(1_000_000).alias("rank")))
+    return ask.reranked(both, hits.select("id", "score")).select("place", "id")
+
+
+def _wrong_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_urls").where("verdict = 'not' and url is not null").select(F.col("url").alias("target")).distinct()
+
+
+@query
+def year_list(spark: SparkSession, d: str) -> DataFrame:
+    """The list of a year: candidates by year or override, those that show, in the columns of a list."""
+    rows = table(spark, d, "subsidies").select("id", "title", "agency", "year", "status_flag", "apply_end", "until_quota", "hidden", "official_url", "program_name", "views")
+    shown = catalog.visible(catalog.listed(rows, YEAR, _wrong_pages(spark, d)).withColumn("ongoing", F.col("program_name").isNotNull()), YEAR, "ongoing")
+    return shown.select("id", "agency", "year", "official_url", "views", "ongoing", "carried_over")
+
+
+@query
+def listed_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "year", "hidden", "official_url")
+    return catalog.listed(rows, YEAR, _wrong_pages(spark, d)).select("id", "year")
+
+
+@query
+def notice_detail(spark: SparkSession, d: str) -> DataFrame:
+    """One notice by its id, here the smallest that isn't hidden."""
+    rows = table(spark, d, "subsidies")
+    first = rows.where("not coalesce(hidden, false)").agg(F.min("id")).first()[0]
+    return catalog.notice(rows, first).select("id", "title", "agency", "year", "official_url", "target", "doc_no")
+
+
+@query
+def source_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The known values of some keys as one map, written as JSON."""
+    pairs = table(spark, d, "sources_status").select(F.col("source_id").alias("key"), F.col("agency").alias("value"))
+    return catalog.values_of(pairs, ["erm", "ses", "geo", "nobody"]).select(F.to_json("values").alias("json"))
+
+
+def _choice(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Rows with status, and the agency with most of them (of several the first)."""
+    rows = catalog.with_status(table(spark, d, "subsidies").select("id", "agency", "target_types", "status_flag", "announce_date", "apply_start", "apply_end", "apply_end_time"), NOW_S)
+    top = rows.where("agency is not null").groupBy("agency").count().orderBy(F.desc("count"), "agency").first()
+    return rows, top["agency"] if top else ""
+
+
+@query
+def status_facet_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by status under a chosen agency and category, whatever status is chosen."""
+    rows, agency = _choice(spark, d)
+    return catalog.status_facet(catalog.chosen(rows, "status", status="open", agency=agency, category="工業"))
+
+
+@query
+def list_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows, agency = _choice(spark, d)
+    return catalog.totals(rows, status="open", agency=agency, category="工業")
+
+
+@query
+def agency_order(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.agency_list(table(spark, d, "subsidies"))
+
+
+@query
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsidies").select("id", F.array_join(T.categories_of(F.col("target_types")), "|").alias("categories"))
+
+
+@query
+def title_tags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsidies").select("id", F.array_join(T.title_tags(F.col("title"), F.col("period_text")), "|").alias("tags"))
+
+
+@query
+def target_points(spark: SparkSession, d: str) -> DataFrame:
+    own = F.lit(None).cast("array<string>")
+    return table(spark, d, "subsidies").select("id", F.array_join(T.target_points(own, F.col("target")), "|").alias("points"))
+
+
+@query
+def short_periods(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    text = L.period_text(c("period_text"), c("apply_start"), c("apply_end"), c("apply_end_time"), c("until_quota"), c("period_varies"))
+    return table(spark, d, "subsidies").select("id", T.short_period(text).alias("period"))
+
+
+@query
+def amounts_in_words(spark: SparkSession, d: str) -> DataFrame:
+    """Whole amounts of orders as a card shows them."""
+    n = F.floor(F.col("o_totalprice")).cast("long") * F.when(F.col("o_orderkey") % 3 == 0, 100).when(F.col("o_orderkey") % 3 == 1, 10_000).otherwise(1)
+    return table(spark, d, "orders").select("o_orderkey", T.dollars(n).alias("words"))
+
+
+@query
+def candidate_union(spark: SparkSession, d: str) -> DataFrame:
+    """Listed pages, pinned programmes and known notices as one set of candidates."""
+    c, s = table(spark, d, "crawl_urls"), table(spark, d, "subsidies")
+    lists = c.where("list_date is not null").select("url", "title", "list_date", "source_id")
+    pinned = s.where("program_name is not null and official_url is not null").groupBy("program_name").agg(F.min("official_url").alias("url"))
+    pinned = pinned.select("url", F.col("program_name").alias("title"), F.lit(None).cast("string").alias("list_date"), F.lit("program").alias("source_id"))
+    first = table(spark, d, "sources_status").groupBy("agency").agg(F.min("source_id").alias("source_id"))
+    known = s.where(f"year >= {YEAR - 1} and official_url is not null").select("official_url", "title", "announce_date", "agency").join(first, "agency", "left")
+    known = known.select(F.col("official_url").alias("url"), "title", F.col("announce_date").alias("list_date"), F.coalesce("source_id", F.lit("known")).alias("source_id"))
+    dead = c.where("verdict = 'error'").select(F.col("url").alias("target"))
+    return crawl.candidate_pages(lists, pinned, known, dead, f"{YEAR - 1}-01-01")
+
+
+@query
+def document_years(spark: SparkSession, d: str) -> DataFrame:
+    year = crawl.document_year(F.col("announce_date"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.col("title"))
+    return table(spark, d, "subsidies").select("id", year.alias("doc_year"))
+
+
+@query
+def picked_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that were cut, repaired from the lines of the page."""
+    t = crawl.picked_title(F.col("title"), F.col("content"), F.col("program_name"), F.lit(None).cast("string"))
+    return table(spark, d, "subsidies").select("id", t.alias("title"))
+
+
+@query
+def redirect_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose notice has another official address lead there, at most two steps."""
+    c, s = table(spark, d, "crawl_urls"), table(spark, d, "subsidies").select(F.col("id").alias("_id"), "official_url")
+    links = c.where("url is not null").select("url", "subsidy_id").join(s, F.col("subsidy_id") == F.col("_id"), "left")
+    return crawl.followed(links.select("url", F.col("official_url").alias("target")))
+
+
+@query
+def run_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.run_statistics(table(spark, d, "crawl_urls"))
+
+
+@query
+def drift_alarms(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "subsidies")
+    pinned = s.where("program_name is not null and official_url is not null").groupBy("program_name").agg(F.min("official_url").alias("url"))
+    out = crawl.drifted(pinned.withColumnRenamed("program_name", "programme"), table(spark, d, "crawl_urls"), s, YEAR, "2026-09-15")
+    return out.select("programme", "url", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query
+def withdrawn_notices(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "official_url", "hidden")
+    return merge.withdrawn(rows, _wrong_pages(spark, d)).select("id", "hidden", "changed")
+
+
+@query
+def link_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").select("id", "official_url", "link_status")
+    checked = table(spark, d, "crawl_urls").select("url", (F.coalesce("verdict", F.lit("")) != "error").alias("ok"), F.col("reason").isNotNull().alias("permanent"), "fail_count")
+    return merge.link_states(rows, checked).select("id", "link_status")
+
+
+@query
+def replaced_table(spark: SparkSession, d: str) -> DataFrame:
+    """Exclusions as a delivery that replaces all: of a repeated address the last check counts."""
+    rows = table(spark, d, "crawl_urls").select("url", "verdict", "last_checked_at")
+    return merge.replaced_all(rows.limit(0), rows.where("verdict = 'error'"), "url", "last_checked_at").select("url", F.unix_micros("last_checked_at").alias("at_us"))
+
+
+@query
+def merge_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every notice against the next one, by id, of its key without batch: by which case the second is merged into the first."""
+    cols = ["id", "title", "year", "announce_date", "apply_start", "apply_end", "deadline_text", "target", "amount_text", "summary", "doc_no", "delegate", "until_quota", "status_flag", "official_url", "source_urls", "first_seen_at"]
+    s = table(spark, d, "subsidies").where("dedupe_key is not null").withColumn("_name", F.regexp_replace("dedupe_key", r"\|[^|]*\z", ""))
+    row = F.struct(*cols)
+    pairs = s.groupBy("_name").agg(F.min(row).alias("old"), F.max(row).alias("new"), F.count(F.lit(1)).alias("_n"))
+    pairs = pairs.withColumn("old", F.when(F.col("_n") > 1, F.col("old")))
+    out = merge.merged_notice(pairs)
+    return out.select(F.col("merged.id").alias("id"), "case", "merged.title", "merged.year", "merged.target", "merged.amount_text", "merged.apply_end", "merged.until_quota", "merged.status_flag", "merged.official_url")
+
+
 @query
 def page_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Notices rendered as pages and read back: title, heading and links survive."""

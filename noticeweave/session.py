@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     ``df`` should be cheap to count, such as one that was checkpointed.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], count: str | None = None) -> DataFrame:
+    """``df`` with ``n``, the place of each row from 0 in its group, and no task that holds a group.
+
+    All rows are sorted over ranges at once; a row's place is its place in its range plus the sizes of the ranges before. With
+    ``count``, a column of numbers, ``n`` is the sum of that column over the rows before instead.
+    """
+    parts = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    parts = stored(parts.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    weight = F.col(count).cast("long") if count else F.lit(1).cast("long")
+    here = Window.partitionBy(part, *group).orderBy("_m")
+    sizes = parts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], part.alias("_p")).agg(F.sum(weight).alias("_w"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0))).drop("_w")
+    same = part == F.col("_p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    own = F.coalesce(F.sum(weight).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = parts.withColumn("_own", own).join(bounded_broadcast(sizes), same)
+    return rows.withColumn("n", F.col("_own") + F.col("_before")).drop("_m", "_p", "_own", "_before", *[f"_g{i}" for i in range(len(group))])

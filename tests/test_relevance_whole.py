@@ -29,9 +29,9 @@ def test_whole_questions_against_brute_force(spark, block):
     questions = [(i, word(rng.choice([0, 1, 5, 80, 900]))) for i in range(25)] + [(99, None)]
     notices = [(f"{i:03d}", word(rng.choice([0, 1, 4, 30]))) for i in range(60)] + [("x", None)]
     q, n = spark.createDataFrame(questions, "qid long, question string"), spark.createDataFrame(notices, "id string, text string")
-    got = {tuple(r) for r in ask.relevance_top_whole(q, n, block=block).select("qid", "id", "score", "rank").collect()}
+    got = {tuple(r) for r in ask.relevance_top(q, n, block=block).select("qid", "id", "score", "rank").collect()}
     assert got == brute(questions, notices) and len(got) > 40
-    assert ask.relevance_top_whole(q.limit(0), n).count() == 0 == ask.relevance_top_whole(q, n.limit(0)).count()
+    assert ask.relevance_top(q.limit(0), n).count() == 0 == ask.relevance_top(q, n.limit(0)).count()
 
 
 def test_query_reads_whole_texts_and_all_fields(spark, tmp_path):
@@ -40,5 +40,5 @@ def test_query_reads_whole_texts_and_all_fields(spark, tmp_path):
     rows = [("a", "熱泵熱水補助", None, None, None, None), ("b", "甲", None, None, None, ["每台三萬三千元"]), ("c", "乙", None, None, ["農漁業者"], [])]
     cols = "id string, title string, summary string, target string, target_types array<string>, amount_details array<string>"
     spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/subsidies.parquet")
-    got = {(r["qid"], r["id"]) for r in entry.queries()["relevance_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["qid"], r["id"]) for r in entry.queries()["relevance_topk"](spark, str(tmp_path)).collect()}
     assert got == {(20, "a"), (40, "b"), (60, "c")}

@@ -56,7 +56,7 @@ def test_status_order_and_visibility(spark):
     assert got["hot"]["hot_text"] == "今天截止" and got["old"]["days_left"] == 30 and got["new"]["is_new"] and not got["old"]["is_new"]
     order = [r["id"] for r in catalog.lifecycle_top(df, now, 20).orderBy("rank").collect()]
     assert order[:5] == ["new", "hot", "old", "up", "none"]
-    assert {r["id"] for r in catalog.visible(df, 2026).collect()} == {"new", "old", "hot", "up", "end", "none", "carry"}
+    assert {r["id"] for r in catalog.visible(df, 2026).collect()} == {"new", "old", "hot", "up", "end", "carry"}
     facet = {r["status"]: r["n"] for r in catalog.status_facet(catalog.with_status(df, now)).collect()}
     assert facet[""] == 9 == sum(v for k, v in facet.items() if k)
 
