@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeweave.functions import lifecycle as L
+from noticeweave.functions import periods as P
 from noticeweave.functions import text as T
 from noticeweave.operators import ask, catalog, crawl, merge, resolve, timestamps, validate
 from noticeweave.session import checkpoint, table
@@ -277,6 +278,31 @@ def agency_context(spark: SparkSession, d: str) -> DataFrame:
     return ask.context_lines(rows, "agency", "id", ["title", "year", "apply_end"])
 
 
+@query
+def dates_in_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole date of the contents with its place."""
+    rows = table(spark, d, "subsidies").where("content is not null").select("id", F.inline(P.dates_in("content")))
+    return rows.select("id", "day", "begin", "end")
+
+
+@query
+def application_periods(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "subsidies").where("content is not null").select("id", P.period_in("content", "announce_date").alias("p"))
+    return rows.select("id", "p.*")
+
+
+@query
+def announcement_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "subsidies").where("content is not null").select("id", P.announcement_in("content").alias("day"))
+
+
+@query
+def current_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batch to show of each notice that lists batches."""
+    rows = table(spark, d, "subsidies").where("content is not null").select("id", P.batches_in("content").alias("b"))
+    return rows.where(F.size("b") > 0).select("id", F.size("b").alias("n_batches"), P.picked_batch(F.col("b"), F.lit("2026-09-15")).alias("b")).select("id", "n_batches", "b.no", "b.start", "b.end", "b.tentative")
+
+
 @query
 def numbers_supported(spark: SparkSession, d: str) -> DataFrame:
     """Like ``number_provenance``, with Chinese numbers, percents and fractions read as numbers on both sides."""
