@@ -56,7 +56,7 @@ def ending_trie(bases: DataFrame) -> DataFrame:
 def deeper_nodes(bases: DataFrame, both: DataFrame) -> DataFrame:
     """The trie below ``UPPER``: ``(node, ended, went_on)`` of the endings of the titles in ``both`` (``base, node``).
 
-    Beneath a node that only ended or only went on all nodes do the same, so only nodes that did both are followed, from
+    Beneath a node that hardly ended or hardly went on all nodes do the same, so only nodes that did both are followed, from
     the positions that hold them to the beginning of the title.
     """
     inside = _positions(bases).where(F.col("p") > UPPER).select("*", F.substring("base", F.lit(1), F.col("p")).alias("w"))
@@ -93,7 +93,9 @@ def truncated_titles(titles: DataFrame, support: int = 8, known: float = 0.5, kn
     df = checkpoint(df.withColumn("base", F.rtrim("base")).drop("plain"))
     bases = df.groupBy("base").agg(F.min("marked").alias("marked"))
     upper = stored(_deepest(bases, ending_trie(bases), LEAST, UPPER, support))
-    both = upper.where((F.col("d") == UPPER) & (F.col("ended") > 0) & (F.col("went_on") > 0)).select("base", "node")
+    # Below a node with fewer ends, or fewer continuations, no node of enough support can decide otherwise.
+    turns = (F.col("ended") >= known * support) & (F.col("went_on") >= (1 - max(known, known_at_limit)) * support)
+    both = upper.where((F.col("d") == UPPER) & turns).select("base", "node")
     lower = _deepest(both, deeper_nodes(bases, both), UPPER + 1, F.length("base"), support)
     share = F.col("ended") / (F.col("ended") + F.col("went_on"))
     lower = lower.select(F.col("base").alias("_base"), share.alias("_share"))

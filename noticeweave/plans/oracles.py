@@ -246,4 +246,13 @@ ORACLES |= {
             UNION ALL SELECT p.who, 2, k.who FROM n p JOIN n k ON p.page AND NOT k.page AND k.key = p.key),
         b AS (SELECT doc, min(struct_pack(tier := tier, id := id)) AS m FROM h GROUP BY doc)
         SELECT n.who AS doc, b.m.id AS match, b.m.tier AS tier FROM n LEFT JOIN b ON b.doc = n.who WHERE n.page""",
+    "row_documents": """SELECT id, t AS title, announce_date AS date, CAST(length(announce_date) + 1 + length(t) AS INTEGER) AS n_text FROM (SELECT id, announce_date, trim(regexp_replace(title, '[ \\t\\x{00A0}\\x{3000}]+', ' ', 'g'), ' ') AS t FROM subsidies
+        WHERE title IS NOT NULL AND regexp_full_match(announce_date, '\\d{4}-\\d{2}-\\d{2}')) WHERE length(t) >= 8 AND NOT regexp_full_match(t, '[\\d\\s./-]+') AND try_cast(announce_date AS DATE) IS NOT NULL AND year(try_cast(announce_date AS DATE)) BETWEEN 1990 AND 2100""",
+    "challenged_pages": """SELECT doc_id, regexp_matches(substr(text, 1, 3000), '(?i)_Incapsula_Resource|cf-browser-verification|challenge-platform|Request unsuccessful\\. Incapsula') AS challenge,
+        octet_length(encode(text)) <= 5242880 AS fits, CAST(NULL AS VARCHAR) AS leads_to FROM documents WHERE text IS NOT NULL""",
+    "page_files": """WITH a AS (SELECT id, unnest(attachments) AS a FROM subsidies) SELECT DISTINCT id, a.url AS url, trim(regexp_replace(a.label, '[ \\t\\x{00A0}\\x{3000}]+', ' ', 'g'), ' ') AS label FROM a
+        WHERE regexp_matches(a.url, '(?i)\\.(pdf|odt|docx|doc|ods|xlsx|zip)(\\?|$)|download|file_?id|getfile|attach|wHandNews_File') OR regexp_matches(a.label, '(?i)\\.(pdf|odt|docx)\\b')""",
+    "list_page_links": """WITH r AS (SELECT source_id, url, max(title) AS t, max(list_date) AS ld FROM crawl_urls WHERE url IS NOT NULL AND title IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL),
+        c AS (SELECT url, trim(regexp_replace(regexp_replace(t, '[ \\t\\x{00A0}\\x{3000}]+', ' ', 'g'), '[(（]?(另開新視窗|開新視窗|新視窗開啟)[)）]?', '', 'g'), ' ') AS t, CASE WHEN regexp_full_match(ld, '\\d{4}-\\d{2}-\\d{2}') THEN CAST(try_cast(ld AS DATE) AS VARCHAR) END AS d FROM r)
+        SELECT url, arg_max(t, struct_pack(n := length(t), t := t)) AS title, max(d) AS date FROM c WHERE length(t) BETWEEN 6 AND 200 GROUP BY url""",
 }

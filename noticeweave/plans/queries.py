@@ -504,6 +504,65 @@ def page_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "m.title", "m.heading", F.length("m.text").alias("n_text"), F.size(F.filter("links", lambda x: ~x["in_nav"])).alias("n_links"))
 
 
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _list_pages(spark: SparkSession, d: str) -> DataFrame:
+    """``(url, html)``: the visited pages rendered as list pages of their source, about fifty rows to a page."""
+    rows = table(spark, d, "crawl_urls").where("url is not null and title is not null and source_id is not null")
+    rows = rows.groupBy("source_id", "url").agg(F.max("title").alias("title"), F.max("list_date").alias("list_date"))
+    li = F.concat(F.lit("<li><span>"), F.coalesce("list_date", F.lit("")), F.lit('</span> <a href="'), _escaped(F.col("url")), F.lit('">'), _escaped(F.col("title")), F.lit("</a></li>"))
+    page = F.concat(F.lit("https://"), "source_id", F.lit(".example/list?p="), F.floor(F.pmod(F.xxhash64("url"), F.lit(97))).cast("string"))
+    items = rows.select(page.alias("page"), F.struct("url", li.alias("li")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["li"]), "")
+    pages_ = items.groupBy(F.col("page").alias("url")).agg(body.alias("body"))
+    return pages_.select("url", F.concat(F.lit('<nav><a href="/x">網站導覽網站導覽</a><a href="/news">最新消息公告</a><a href="?p=next" title="下一頁">›</a></nav><ul>'), "body", F.lit("</ul>")).alias("html"))
+
+
+@query
+def list_page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of list pages outside their navigation, with the longest title and any date of each address."""
+    links = _list_pages(spark, d).select(F.inline(pages.links_of("html", "url"))).where("not in_nav")
+    return links.groupBy("url").agg(F.max_by("title", F.struct(F.length("title"), "title")).alias("title"), F.max("date").alias("date"))
+
+
+@query
+def next_list_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _list_pages(spark, d).select("url", pages.next_of("html", "url").alias("next"))
+
+
+@query
+def discovered_list_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.discovered_lists(_list_pages(spark, d)).select("url", "list_url", "score", "rank")
+
+
+@query
+def row_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Notices rendered as rows of a table without pages of their own, and read back."""
+    rows = table(spark, d, "subsidies").where("title is not null and announce_date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'").select("id", "title", "announce_date")
+    html = F.concat(F.lit("<table><tr><th>日期</th><th>名稱</th></tr><tr><td>"), "announce_date", F.lit("</td><td>"), _escaped(F.col("title")), F.lit("</td></tr></table>"))
+    got = rows.select("id", F.inline(pages.rows_of(html, F.lit("https://a.example/list#top"))))
+    return got.select("id", "title", "date", F.length("text").alias("n_text"))
+
+
+@query
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    """Attachments of notices rendered as links of a page, and read back."""
+    rows = table(spark, d, "subsidies").where("attachments is not null").select("id", "attachments")
+    links = F.transform("attachments", lambda a: F.concat(F.lit('<p><a href="'), _escaped(F.coalesce(a["url"], F.lit(""))), F.lit('">'), _escaped(F.coalesce(a["label"], F.lit(""))), F.lit("</a></p>")))
+    html = F.concat(F.lit("<main>"), F.array_join(links, ""), F.lit("</main>"))
+    return rows.select("id", F.inline(pages.files_of(html, F.lit("https://a.example/")))).select("id", "url", "label")
+
+
+@query
+def challenged_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as fetched pages: which ask for a browser, lead elsewhere or are too large."""
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", pages.is_challenge(F.col("text")).alias("challenge"), pages.within_limit(F.col("text"), 5 << 20).alias("fits"),
+                       pages.resolved(pages.redirect_target(F.col("text")), F.col("url")).alias("leads_to"))
+
+
 @query
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by local day and kind, as the streaming function computes them."""
