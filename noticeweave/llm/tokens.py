@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ast
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,16 @@ DEFAULT = "piece_bpe_32k.model"
 _LOADED: dict = {}
 
 
-def counter(path: str):
+def split_pattern(folder: str) -> str:
+    """The pattern that splits texts before the merges of rank files, read from the folder's module without running it."""
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
+        for node in ast.parse(f.read()).body:
+            if isinstance(node, ast.Assign) and any(getattr(t, "id", "") == "PATTERN" for t in node.targets):
+                return ast.literal_eval(node.value)
+    raise ValueError(f"no PATTERN in {folder}")
+
+
+def counter(path: str, pattern: str = ""):
     """A function from texts to their numbers of tokens, loaded once per worker; by the file's kind."""
     if path in _LOADED:
         return _LOADED[path]
@@ -33,24 +44,20 @@ def counter(path: str):
         run = lambda texts: [len(x) for x in bpe.encode_batch_fast(texts, add_special_tokens=False)]
     else:
         import base64
-        import importlib.util
 
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_public_tokenizers", os.path.join(os.path.dirname(path), "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("own", pat_str=pattern or split_pattern(os.path.dirname(path)), mergeable_ranks=ranks, special_tokens={})
         run = lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
     _LOADED[path] = run
     return run
 
 
-def _count(path: str):
+def _count(name: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(SparkFiles.get(name), pattern)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             n = []
@@ -63,7 +70,13 @@ def _count(path: str):
 
 
 def with_sizes(df: DataFrame, text: str, keep: list[str], tokenizer: str = DEFAULT, folder: str | None = None) -> DataFrame:
-    """``(*keep, n_tokens)``: the size of every non-null text; the texts themselves go no further."""
+    """``(*keep, n_tokens)``: the size of every non-null text; the texts themselves go no further.
+
+    The vocabulary is read on the driver and given to the executors as a file of the application.
+    """
+    folder = folder or FOLDER
+    df.sparkSession.sparkContext.addFile(os.path.join(folder, tokenizer))
     rows = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_count(os.path.join(folder or FOLDER, tokenizer)), f"{fields}, n_tokens long")
+    pattern = split_pattern(folder) if tokenizer.endswith(".tiktoken") else ""
+    return rows.mapInArrow(_count(tokenizer, pattern), f"{fields}, n_tokens long")
