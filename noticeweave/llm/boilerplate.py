@@ -17,13 +17,12 @@ from noticeweave.session import bounded_broadcast, checkpoint, stored
 
 # Words by which a sentence speaks of the site and not of a notice.
 SITE_SENTENCES = (
-    r"本站|本網站|Cookie|著作權|轉載|重製|正式公文|服務條款|隱私權|資訊安全宣告|本機關保留|以上解析度|告訴朋友|分享給|訂閱|電子報|訊息好友|滿意度|詐騙|"
-    r"專線全年|請撥打值班台|營隊|倒數"
+    r"本站|本網站|Cookie|著作權|轉載|重製|正式公文|服務條款|隱私權|資訊安全宣告|本機關保留|以上解析度|告訴朋友|分享給|訂閱|電子報|訊息好友|滿意度"
 )
 # Words by which any other line does.
 SITE_WORDS = (
     r"本站|網站|Cookie|著作權|版權|轉載|正式公文|隱私權|分享|列印|轉寄|收藏|瀏覽|點閱|人氣|人看過|人次|目前線上|回上一頁|解析度|跳到主要|LOGO|"
-    r"全球資訊網|選單|MENU|字級|搜尋|Reserved|編輯小組|新聞組|秘書室|綜合規劃科|更多…|朋友|電子報|訂閱|好友|滿意度|詐騙|專線全年|營隊|倒數|^:::$"
+    r"全球資訊網|選單|MENU|字級|搜尋|Reserved|更多…|朋友|電子報|訂閱|好友|滿意度|^:::$"
 )
 # What stands before the changing part of a line of the site.
 SITE_PREFIXES = (
