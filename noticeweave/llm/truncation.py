@@ -11,6 +11,8 @@ from noticeweave.session import bounded_broadcast, checkpoint, stored
 #: The shortest node that says anything, and the depth to which the trie is counted for all titles. Below it only nodes that
 #: speak for both sides are followed, to the whole title.
 LEAST, UPPER = 2, 8
+#: The depths to which the steps below it go; the last one has no end.
+LOWER = (12, 20, None)
 # Marks and broken characters that a cut leaves behind, entity fragments included.
 CUT_MARK = r"(?:\s*(?:…+|⋯+|\.{2,}|．{2,}|\x{fffd}+|&(?:[A-Za-z]{0,8}|#[0-9xX]{0,6});?))+\s*\z"
 
@@ -53,17 +55,17 @@ def ending_trie(bases: DataFrame) -> DataFrame:
     return _counted(windows.select(F.explode(_nodes(F.col("w"), LEAST, UPPER)).alias("node"), "on", "end"), final)
 
 
-def deeper_nodes(bases: DataFrame, both: DataFrame) -> DataFrame:
-    """The trie below ``UPPER``: ``(node, ended, went_on)`` of the endings of the titles in ``both`` (``base, node``).
+def deeper_nodes(heads: DataFrame, both: DataFrame, least: int, most: int | None) -> DataFrame:
+    """The trie from depth ``least`` to ``most``: ``(node, ended, went_on)`` of the endings of the titles in ``both`` (``base, node``).
 
-    Beneath a node that hardly ended or hardly went on all nodes do the same, so only nodes that did both are followed, from
-    the positions that hold them to the beginning of the title.
+    ``heads`` (``w, on, end``) are the texts before the positions that may count; only those that end with a node of ``both``,
+    one sign shorter than ``least``, are followed.
     """
-    inside = _positions(bases).where(F.col("p") > UPPER).select("*", F.substring("base", F.lit(1), F.col("p")).alias("w"))
-    inside = inside.withColumn("node", F.xxhash64(_tail(F.col("w"), UPPER))).join(bounded_broadcast(both.select("node").distinct()), "node", "left_semi")
-    heads = inside.groupBy("w").agg(F.sum("on").alias("on"), F.sum("end").alias("end"))
-    final = both.select(F.explode(_nodes(F.col("base"), UPPER + 1, F.length("base"))).alias("node")).distinct()
-    return _counted(heads.select(F.explode(_nodes(F.col("w"), UPPER + 1, F.length("w"))).alias("node"), "on", "end"), final)
+    long = heads.where(F.length("w") >= least).withColumn("node", F.xxhash64(_tail(F.col("w"), least - 1)))
+    long = long.join(bounded_broadcast(both.select("node").distinct()), "node", "left_semi")
+    final = both.select(F.explode(_nodes(F.col("base"), least, F.length("base") if most is None else most)).alias("node")).distinct()
+    ends = F.length("w") if most is None else most
+    return _counted(long.select(F.explode(_nodes(F.col("w"), least, ends)).alias("node"), "on", "end"), final)
 
 
 def _deepest(bases: DataFrame, trie: DataFrame, least: int, most: Column | int, support: int) -> DataFrame:
@@ -93,14 +95,22 @@ def truncated_titles(titles: DataFrame, support: int = 8, known: float = 0.5, kn
     df = checkpoint(df.withColumn("base", F.rtrim("base")).drop("plain"))
     bases = df.groupBy("base").agg(F.min("marked").alias("marked"))
     upper = stored(_deepest(bases, ending_trie(bases), LEAST, UPPER, support))
-    # Below a node with fewer ends, or fewer continuations, no node of enough support can decide otherwise.
+    # Beneath a node with fewer ends, or fewer continuations, no node of enough support can decide otherwise: only the others
+    # are followed, in steps, from the positions that hold them to the beginning of the title.
     turns = (F.col("ended") >= known * support) & (F.col("went_on") >= (1 - max(known, known_at_limit)) * support)
-    both = upper.where((F.col("d") == UPPER) & turns).select("base", "node")
-    lower = _deepest(both, deeper_nodes(bases, both), UPPER + 1, F.length("base"), support)
-    share = F.col("ended") / (F.col("ended") + F.col("went_on"))
-    lower = lower.select(F.col("base").alias("_base"), share.alias("_share"))
-    best = upper.select("base", share.alias("share")).join(lower, F.col("base") == F.col("_base"), "left")
-    best = best.select("base", F.coalesce("_share", "share").alias("known_share"))
+    share = (F.col("ended") / (F.col("ended") + F.col("went_on"))).alias("share")
+    found, last, depth = upper.select("base", "d", share), upper, UPPER
+    both = last.where((F.col("d") == depth) & turns).select("base", "node")
+    inside = _positions(bases).where(F.col("p") > UPPER).select("on", "end", F.substring("base", F.lit(1), F.col("p")).alias("w"))
+    inside = inside.withColumn("node", F.xxhash64(_tail(F.col("w"), UPPER))).join(bounded_broadcast(both.select("node").distinct()), "node", "left_semi")
+    heads = stored(inside.groupBy("w").agg(F.sum("on").alias("on"), F.sum("end").alias("end")))
+    for most in LOWER:
+        last = stored(_deepest(both, deeper_nodes(heads, both, depth + 1, most), depth + 1, F.length("base") if most is None else most, support))
+        found = found.unionByName(last.select("base", "d", share))
+        if most is not None:
+            depth = most
+            both = last.where((F.col("d") == depth) & turns).select("base", "node")
+    best = found.groupBy("base").agg(F.max(F.struct("d", "share"))["share"].alias("known_share"))
     df = df.join(best, "base", "left").withColumn("n_chars", F.length("title"))
     unknown = F.coalesce(F.col("known_share") < known, F.lit(False))
     df = df.withColumn("_cut", F.col("marked") | unknown)
