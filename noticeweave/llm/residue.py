@@ -19,7 +19,7 @@ BODY, RESIDUE, BLANK_FIELD, AROUND = range(4)
 #: Hashed n-grams, then length buckets, each for first clauses (titles) and for others.
 HASH_BITS, LENGTHS = 17, 16
 #: Documents that may be drawn for training, and clauses of each stratum that the classifier is fitted on.
-SAMPLE_DOCS, SAMPLE_CLAUSES = 20_000, 2_000
+SAMPLE_DOCS, SAMPLE_CLAUSES = 40_000, 2_000
 #: Clauses that occur so often in the drawn documents are always fitted on.
 FREQUENT = 50
 #: By how much (log odds) an unfilled field must be likelier than all else, as one such clause condemns a document.
