@@ -148,7 +148,7 @@ def test_pages(spark):
         + "內文內文" * 30 + '<a href="f.pdf">要點.pdf</a></td></tr></table><a href="?p=2" title="下一頁">2</a><a href="/news">最新消息</a><a href="/bid">採購公告</a><a href="https://else.tw/n">公告</a>'
         "<ul><li><span>115/09/01</span> <span>無網頁的補助公告一則</span></li><li>無日期的一列文字文字文字</li></ul></body></html>"
     )
-    title, heading, about, text = pages.main_part(html)
+    title, heading, about, text = pages.main_and_description(html)
     assert (title, heading, about) == ("署", "補助計畫公告標題", "說明 文字") and "內文" in text and "選單" not in text
     assert pages.attached_files(html, "https://a.tw/x/") == [("https://a.tw/x/f.pdf", "要點.pdf")] and pages.next_page(html, "https://a.tw/x") == "https://a.tw/x?p=2"
     (row,) = pages.row_documents(html, "https://a.tw/x#y")
