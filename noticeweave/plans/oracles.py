@@ -255,4 +255,5 @@ ORACLES |= {
     "list_page_links": """WITH r AS (SELECT source_id, url, max(title) AS t, max(list_date) AS ld FROM crawl_urls WHERE url IS NOT NULL AND title IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL),
         c AS (SELECT url, trim(regexp_replace(regexp_replace(t, '[ \\t\\x{00A0}\\x{3000}]+', ' ', 'g'), '[(（]?(另開新視窗|開新視窗|新視窗開啟)[)）]?', '', 'g'), ' ') AS t, CASE WHEN regexp_full_match(ld, '\\d{4}-\\d{2}-\\d{2}') THEN CAST(try_cast(ld AS DATE) AS VARCHAR) END AS d FROM r)
         SELECT url, arg_max(t, struct_pack(n := length(t), t := t)) AS title, max(d) AS date FROM c WHERE length(t) BETWEEN 6 AND 200 GROUP BY url""",
+    "agency_order": "SELECT DISTINCT agency FROM subsidies WHERE agency <> ''",
 }
