@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeweave.functions import text as T
-from noticeweave.session import checkpoint
+from noticeweave.operators.name_pairs import similar_in_cell
+from noticeweave.session import checkpoint, parallelism
 
 THRESHOLD = 0.72
+#: Names of one side in a cell of the similarity join; families of related agencies beyond it are cut into slices.
+CELL = 20_000
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -22,25 +25,37 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     """``(a, b, score)``: named groups of related agencies whose names are alike.
 
     Both sides have ``node, agency, name``. Agencies are related if one begins with the other; names are alike by
-    ``text.dice``. Candidates come by equality alone: each agency meets the prefixes of the other that are agencies
-    themselves, and within those pairs only names with a bigram in common are scored, which loses nothing: names
-    without one score 0. Null and empty names and agencies match nothing.
+    ``text.dice``. Related agencies begin with the same shortest agency, so its names make a cell; a large cell is cut into
+    slices of about ``CELL`` names, and each slice of one side meets each of the other. Which pairs are told doesn't
+    depend on the cells. Null and empty names and agencies match nothing.
     """
-    some = lambda df: df.where("agency <> '' and length(name) >= 2")
+    spark = left.sparkSession
+    some = lambda df: df.where("agency <> '' and length(name) >= 2 and node is not null").select("node", "agency", "name")
     left, right = some(left), some(right)
-    names = left.select("agency").unionByName(right.select("agency")).distinct()
+    many = lambda df, n: df.groupBy("agency").agg(F.count(F.lit(1)).alias(n))
+    agencies = checkpoint(many(left, "x").join(many(right, "y"), "agency", "full"))
     prefixes = F.transform(F.sequence(F.lit(1), F.length("agency")), lambda i: F.substring("agency", F.lit(1), i))
-    roots = names.select("agency", F.explode(prefixes).alias("root")).join(names.select(F.col("agency").alias("root")), "root", "left_semi")
-    related = roots.select(F.col("agency").alias("ag_a"), F.col("root").alias("ag_b")).unionByName(
-        roots.where("agency <> root").select(F.col("root").alias("ag_a"), F.col("agency").alias("ag_b"))
-    )
-    grams = lambda df, n, ag: df.select(F.col("node").alias(n), F.col("agency").alias(ag), F.explode(F.array_distinct(T.bigrams(F.col("name")))).alias("g"))
-    pairs = grams(left, "a", "ag_a").join(related, "ag_a").join(grams(right, "b", "ag_b"), ["g", "ag_b"])
-    pairs = pairs.select("a", "b").distinct()
-    la = left.select(F.col("node").alias("a"), F.col("name").alias("na"))
-    lb = right.select(F.col("node").alias("b"), F.col("name").alias("nb"))
-    scored = pairs.join(la, "a").join(lb, "b").withColumn("score", T.dice(F.col("na"), F.col("nb")))
-    return scored.where(F.col("score") >= threshold).select("a", "b", F.round("score", 9).alias("score"))
+    roots = agencies.select("agency", F.explode(prefixes).alias("root")).join(agencies.select(F.col("agency").alias("root")), "root", "left_semi")
+    roots = roots.groupBy("agency").agg(F.min_by("root", F.length("root")).alias("root"))
+    slices = lambda c: F.ceil(F.greatest(F.coalesce(F.sum(c), F.lit(0)), F.lit(1)) / CELL)
+    cut = agencies.join(roots, "agency").groupBy("root").agg(slices("x").alias("xs"), slices("y").alias("ys"), F.sum(F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("n"))
+    cut = checkpoint(cut)
+    whole = (F.col("xs") == 1) & (F.col("ys") == 1)
+    cells = cut.agg(F.sum(F.when(~whole, F.col("xs") * F.col("ys"))).alias("cut"), F.sum(F.when(whole, F.col("n"))).alias("n")).first()
+    small = (cells["n"] or 0) // (2 * CELL) + 1
+    parts = max(parallelism(spark), min(2 * (small + (cells["cut"] or 0)), 1_000))
+    cut = roots.join(cut, "root").select("agency", "root", "xs", "ys", whole.alias("whole"))
+
+    def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        df = df.join(cut, "agency").withColumn(i, F.pmod(F.xxhash64("node"), F.col(own))).withColumn(j, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        df = df.withColumn("i", F.when(F.col("whole"), F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("i"))).withColumn("cell", F.when(F.col("whole"), "").otherwise(F.col("root")))
+        return df.repartition(parts, "cell", "i", "j").select([F.col(c).alias(c) for c in ("node", "agency", "name", "cell", "i", "j")])  # two sides may be one table
+
+    key = ["cell", "i", "j"]
+    kind = lambda df: df.schema["node"].dataType.simpleString()
+    pairs = dealt(left, "xs", "ys", "i", "j").groupBy(*key).cogroup(dealt(right, "ys", "xs", "j", "i").groupBy(*key))
+    pairs = pairs.applyInArrow(similar_in_cell(threshold), f"a {kind(left)}, b {kind(right)}, score double")
+    return pairs.select("a", "b", F.round("score", 9).alias("score"))
 
 
 def match_cascade(docs: DataFrame, known: DataFrame) -> DataFrame:
