@@ -70,7 +70,8 @@ def deeper_nodes(heads: DataFrame, both: DataFrame, least: int, most: int | None
 
 def _deepest(bases: DataFrame, trie: DataFrame, least: int, most: Column | int, support: int) -> DataFrame:
     """``(base, d, node, ended, went_on)``: each title's longest ending that was seen ``support`` times."""
-    looked = bases.select("base", F.posexplode(_nodes(F.col("base"), least, most)).alias("d", "node"))
+    # Spark takes the size of the titles for that of their endings, many times as much, and would broadcast these.
+    looked = bases.select("base", F.posexplode(_nodes(F.col("base"), least, most)).alias("d", "node")).hint("merge")
     best = looked.join(trie, "node").where(F.col("ended") + F.col("went_on") >= support)
     best = best.groupBy("base").agg(F.max(F.struct((F.col("d") + least).alias("d"), "node", "ended", "went_on")).alias("s"))
     return best.select("base", "s.*")
